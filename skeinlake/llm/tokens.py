@@ -71,11 +71,13 @@ class Encoder:
         self.cut = (~inside & left[:, None] & right[None, :]).ravel()
         self.memo = _Memo(self.bpe.encode_ordinary)
 
-    def cuts(self, data: np.ndarray) -> np.ndarray:
-        """Positions in the bytes before which every encoding has a boundary."""
-        if len(data) < 2:
-            return np.empty(0, dtype=np.int64)
-        return np.flatnonzero(self.cut[(data[:-1].astype(np.uint16) << 8) | data[1:]]) + 1
+    def cuts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Positions in the bytes before which every encoding has a boundary; ``starts`` are those of documents."""
+        at = np.zeros(len(data), dtype=bool)
+        if len(data) > 1:
+            at[1:] = self.cut[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        at[starts] = True
+        return np.flatnonzero(at)
 
     def fragments(self, texts: pa.Array) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray, bytes]:
         """Ids of each fragment, the fragments' starts in the bytes, the documents' bounds among the fragments, the bytes."""
@@ -83,7 +85,7 @@ class Encoder:
         data = b"".join(raw)
         ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        at = np.union1d(self.cuts(np.frombuffer(data, dtype=np.uint8)), starts[starts < ends])
+        at = self.cuts(np.frombuffer(data, dtype=np.uint8), starts[starts < ends])
         ids = list(map(self.memo.__getitem__, map(data.__getitem__, map(slice, at.tolist(), [*at[1:].tolist(), len(data)]))))
         bounds = np.searchsorted(at, np.concatenate([starts, ends[-1:]]))
         return ids, at, bounds, data
