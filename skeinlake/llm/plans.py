@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import tables
-from . import packing, pieces, splits, tokens
+from . import neighbours, packing, pieces, splits, tokens
 
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
 
@@ -18,6 +18,16 @@ def p2_splits(spark, sf_dir):
     return splits.thread_splits(spark, sf_dir)
 
 
+def p7_neighbours(spark, sf_dir):
+    """The five most similar posts of each post, with the score."""
+    return neighbours.nearest(spark, tables.load(spark, sf_dir, "post_embeddings").select("post_id", "embedding", "model_version"))
+
+
+def p7_found(spark, sf_dir):
+    n = p7_neighbours(spark, sf_dir)
+    return n.select(F.least("post_id", "neighbour").alias("post_a"), F.greatest("post_id", "neighbour").alias("post_b")).distinct()
+
+
 def p8_ids(spark, sf_dir):
     return tokens.token_ids(tables.load(spark, sf_dir, "documents"))
 
@@ -57,8 +67,13 @@ _SQL = {
       s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
       r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a)
       SELECT DISTINCT a AS thread_a, b AS thread_b FROM r WHERE a < b""",
+    "p7_exact": """WITH one AS (SELECT post_id, arg_min(embedding::FLOAT[384], created_at) AS e, arg_min(model_version, created_at) AS m FROM post_embeddings
+        WHERE len(embedding) = 384 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY 1),
+      d AS (SELECT a.post_id AS q, b.post_id AS c, round(array_cosine_similarity(a.e::DOUBLE[384], b.e::DOUBLE[384]), 6) AS s FROM one a JOIN one b ON a.m = b.m AND a.post_id <> b.post_id),
+      t AS (SELECT q, c FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, c) <= 5)
+      SELECT DISTINCT least(q, c) AS post_a, greatest(q, c) AS post_b FROM t""",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: v for k, v in _SQL.items() if k in queries()}
