@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import tables
-from . import neighbours, packing, pieces, splits, tokens
+from . import near_duplicates, neighbours, packing, pieces, splits, tokens
 
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
 
 
+def _comments(spark, sf_dir):
+    return tables.load(spark, sf_dir, "posts").select("id", "comment_raw")
+
+
+def p1_found(spark, sf_dir):
+    found = near_duplicates.pairs(spark, _comments(spark, sf_dir), "id", "comment_raw")
+    return found.select(F.col("a").alias("post_a"), F.col("b").alias("post_b"))
+
+
+def p1_groups(spark, sf_dir):
+    found = near_duplicates.groups(spark, _comments(spark, sf_dir), "id", "comment_raw")
+    return found.select(F.col("id").alias("post_id"), "group", "links")
+
+
 def p2_found(spark, sf_dir):
     return splits.related_pairs(spark, sf_dir)
 
