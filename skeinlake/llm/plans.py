@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import tables
-from . import near_duplicates, neighbours, packing, pieces, splits, tokens
+from . import near_duplicates, neighbours, packing, pieces, splits, tokens, toxicity
 
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
 
@@ -32,6 +32,18 @@ def p2_splits(spark, sf_dir):
     return splits.thread_splits(spark, sf_dir)
 
 
+def p6_scores(spark, sf_dir):
+    return toxicity.score_posts(spark, sf_dir)
+
+
+def p6_rates(spark, sf_dir):
+    return toxicity.rates(spark, sf_dir)
+
+
+def p6_found(spark, sf_dir):
+    return toxicity.score_posts(spark, sf_dir).where("toxic").select("post_id")
+
+
 def p7_neighbours(spark, sf_dir):
     """The five most similar posts of each post, with the score."""
     return neighbours.nearest(spark, tables.load(spark, sf_dir, "post_embeddings").select("post_id", "embedding", "model_version"))
