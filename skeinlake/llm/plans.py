@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import tables
-from . import near_duplicates, neighbours, packing, pieces, splits, tokens, toxicity
+from . import near_duplicates, neighbours, packing, pieces, pii, splits, tokens, toxicity
 
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
 
@@ -32,6 +32,20 @@ def p2_splits(spark, sf_dir):
     return splits.thread_splits(spark, sf_dir)
 
 
+def _finds(spark, sf_dir):
+    posts = tables.load(spark, sf_dir, "posts").select(F.col("id").alias("post_id"), "comment_raw", "author_name")
+    return pii.find(spark, posts, "post_id", {"comment_raw": False, "author_name": True})
+
+
+def p5_found(spark, sf_dir):
+    return _finds(spark, sf_dir).select("post_id", "field_name", F.explode("finds.pii_type").alias("pii_type")).distinct()
+
+
+def p5_redacted(spark, sf_dir):
+    """The readable text of every post and field that holds personal data, with placeholders."""
+    return _finds(spark, sf_dir).where(F.size("finds") > 0).select("post_id", "field_name", "redacted").distinct()
+
+
 def p6_scores(spark, sf_dir):
     return toxicity.score_posts(spark, sf_dir)
 
