@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and SQL.
-MODULES = ["general"]
+MODULES = ["general", "reference"]
 
 
 def _all(kind: str) -> dict:
