@@ -188,6 +188,11 @@ def _labels(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[str], li
     return words, out
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1])
+
+
 @lru_cache(maxsize=1)
 def fit() -> Field:
     """Maximum conditional likelihood with a ridge on the labelled table, by Adam; gradients by forward-backward."""
@@ -219,9 +224,15 @@ def fit() -> Field:
     gold_moves = np.zeros((k, k))
     both = mask[:, 1:]
     np.add.at(gold_moves, (y[:, :-1][both], y[:, 1:][both]), 1)
+    by_word, by_feature = pairs[np.argsort(pairs[:, 0], kind="stable")], pairs[np.argsort(pairs[:, 1], kind="stable")]
+    word_at, feature_at = _starts(by_word[:, 0]), _starts(by_feature[:, 1])
+    places = []
+    for off in REACH:
+        flat = ids[:, 2 + off : 2 + off + top][mask]
+        order = np.argsort(flat, kind="stable")
+        places.append((order, _starts(flat[order]), np.unique(flat)))
     for step in range(1, STEPS + 1):
-        table = np.zeros((len(words), len(REACH), k))
-        np.add.at(table, pairs[:, 0], w[pairs[:, 1]])
+        table = np.add.reduceat(w[by_word[:, 1]], word_at)  # every word has a feature
         e = sum(table[ids[:, 2 + off : 2 + off + top], j] for j, off in enumerate(REACH))
         big = np.exp(moves)
         x = np.exp(e - e.max(2, keepdims=True))
@@ -244,11 +255,10 @@ def fit() -> Field:
         post /= np.maximum(post.sum(2, keepdims=True), 1e-30)
         diff = np.where(mask[:, :, None], post - gold, 0)
         grad_table = np.zeros_like(table)
-        for j, off in enumerate(REACH):
-            flat = ids[:, 2 + off : 2 + off + top][mask]
-            np.add.at(grad_table[:, j], flat, diff[mask])
-        grad_w = np.zeros_like(w)
-        np.add.at(grad_w, pairs[:, 1], grad_table[pairs[:, 0]])
+        inner = diff[mask]
+        for j, (order, at, used) in enumerate(places):
+            grad_table[used, j] = np.add.reduceat(inner[order], at)
+        grad_w = np.add.reduceat(grad_table[by_feature[:, 0]], feature_at)  # every feature has a word
         grads = [grad_w / n + RIDGE * w, (grad_moves - gold_moves) / n + RIDGE * moves]
         for p, g, (m, v) in zip(params, grads, state):
             m += 0.1 * (g - m)

@@ -29,6 +29,8 @@ LABELLED = 20_000
 #: Counts that the prior of a word stands for, and the loss of a word that says nothing.
 PRIOR, DRIFT = 3.0, 0.6
 ROUNDS = 3
+#: However few the labels, a text counts only if one in 10 ** LEAST harmless texts of its length would score as high.
+LEAST = 3.0
 
 _TAG = re.compile(r"<[^>]*>")
 _QUOTE = re.compile(r">>>/\w+/\d*|>>\d+")
@@ -213,7 +215,7 @@ def train(texts: list[list[str]], bad: np.ndarray, rounds: int = ROUNDS) -> Mode
     f = 2 * hits / (np.arange(1, len(order) + 1) + bad.sum())
     # the middle of where it is as good as the best, so that no single text decides
     best = np.flatnonzero(f >= f.max() - 0.002)
-    model.limit = float((left_out[order[best[0]]] + left_out[order[best[-1]]]) / 2)
+    model.limit = max(LEAST, float((left_out[order[best[0]]] + left_out[order[best[-1]]]) / 2))
     model.left_out, model.f_measure = left_out, float(f.max())
     return model
 
