@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,6 +24,11 @@ KEPT_ATTRIBUTES = "class href title id data-board".split()
 DROPPED = "script style iframe object embed form svg".split()
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once: an expression that a lambda refers to is otherwise computed for each element."""
+    return F.transform(F.array(c), f)[0]
+
+
 def strip_html(c: Column) -> Column:
     """Tags are deleted, without a blank in their place; so is an unterminated tag at the end."""
     return F.regexp_replace(F.regexp_replace(c, "<[^>]*(>|$)", ""), ">", "")
@@ -46,7 +52,7 @@ def collapse(c: Column) -> Column:
 
 def canonicalize(c: Column) -> Column:
     """Lower case, no closing punctuation, single blanks: texts that differ in no more are one canonical text."""
-    return collapse(F.regexp_replace(F.trim(F.lower(c)), "[.!?,;:]+$", ""))
+    return collapse(F.regexp_replace(F.trim(F.lower(c)), r"[.!?,;:]+\z", ""))
 
 
 def without_quotes(c: Column) -> Column:
@@ -90,24 +96,24 @@ def safe_url(c: Column) -> Column:
 
 def char_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     """All character n-grams of lower-cased tag-free text that hold a letter or digit of ASCII, repeats kept."""
-    t = collapse(F.lower(F.regexp_replace(c, "<[^>]+>", " ")))
 
-    def grams(n: int) -> Column:
+    def grams(t: Column, n: int) -> Column:
         at = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.substring(t, i, F.lit(n)))
 
-    return F.filter(F.concat(*(grams(n) for n in range(low, high + 1))), lambda g: g.rlike("[a-z0-9]"))
+    clean = collapse(F.lower(F.regexp_replace(c, "<[^>]+>", " ")))
+    return let(clean, lambda t: F.filter(F.concat(*(grams(t, n) for n in range(low, high + 1))), lambda g: g.rlike("[a-z0-9]")))
 
 
 def word_ngrams(c: Column, high: int = 3) -> Column:
     """All runs of one to ``high`` words, joined by a blank, of three characters or more."""
-    w = F.filter(F.split(collapse(F.lower(F.regexp_replace(c, "<[^>]+>", " "))), " "), lambda x: x != "")
 
-    def grams(n: int) -> Column:
+    def grams(w: Column, n: int) -> Column:
         at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
 
-    return F.filter(F.concat(*(grams(n) for n in range(1, high + 1))), lambda g: F.length(g) >= 3)
+    split = F.filter(F.split(collapse(F.lower(F.regexp_replace(c, "<[^>]+>", " "))), " "), lambda x: x != "")
+    return let(split, lambda w: F.filter(F.concat(*(grams(w, n) for n in range(1, high + 1))), lambda g: F.length(g) >= 3))
 
 
 def levenshtein_bytes(a: Column, b: Column) -> Column:
@@ -131,9 +137,13 @@ def title_similarity(a: Column, b: Column) -> Column:
 def text_similarity(a: Column, b: Column) -> Column:
     """How many words of b, repeats counted, occur in a, over the longer text's number of words."""
     split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    x, y = split(a), split(b)
-    both = F.size(F.filter(y, lambda w: F.array_contains(x, w)))
-    return F.coalesce(F.when((F.size(x) > 0) & (F.size(y) > 0), both / F.greatest(F.size(x), F.size(y))), F.lit(0.0))
+
+    def ratio(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        both = F.size(F.filter(y, lambda w: F.array_contains(x, w)))
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), both / F.greatest(F.size(x), F.size(y)))
+
+    return F.coalesce(let(F.struct(split(a).alias("x"), split(b).alias("y")), ratio), F.lit(0.0))
 
 
 def pretokenize(c: Column) -> Column:

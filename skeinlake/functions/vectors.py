@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -23,7 +25,7 @@ def cosine(a: Column, b: Column) -> Column:
 def normalise(a: Column) -> Column:
     """Scaled to length 1; a zero vector stays."""
     n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return F.when(n > 0, let(n, lambda m: F.transform(a, lambda x: x / m))).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
 def half(a: Column) -> Column:
@@ -73,15 +75,22 @@ def parse_vector(c: Column) -> Column:
 
 def fnv1a(c: Column) -> Column:
     """FNV-1a of 32 bits over the UTF-8 bytes, as a long."""
-    byte = lambda i: F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), 2 * i - 1, F.lit(2)), 16, 10).cast("long")
-    n = F.octet_length(c)
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(at, F.lit(2166136261).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * 16777619) % 4294967296)
+
+    def run(h: Column) -> Column:
+        n = (F.length(h) / 2).cast("int")
+        at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        byte = lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("long")
+        return F.aggregate(at, F.lit(2166136261).cast("long"), lambda s, i: (s.bitwiseXOR(byte(i)) * 16777619) % 4294967296)
+
+    return let(F.hex(F.encode(c, "UTF-8")), run)
 
 
 def hashed_vector(tokens: Column, dims: int = 384) -> Column:
-    """A model-free embedding: each word adds (hash mod 3) - 1 to the place its hash names; scaled to length 1."""
+    """A model-free embedding: each word adds (hash mod 3) - 1 to the place its hash names; scaled to length 1.
+
+    The places are few for a text, so they are looked up in a map of sums.
+    """
     h = F.transform(tokens, lambda w: fnv1a(F.lower(w)))
     parts = F.transform(h, lambda x: F.struct((x % dims).cast("int").alias("i"), ((x % 3) - 1).cast("double").alias("v")))
-    flat = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(parts, lambda p: p["i"] == i), F.lit(0.0), lambda s, p: s + p["v"]))
-    return normalise(flat)
+    flat = let(parts, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(ps, lambda p: p["i"] == i), F.lit(0.0), lambda s, p: s + p["v"])))
+    return let(flat, normalise)

@@ -33,7 +33,7 @@ _FILES = f"fl AS (SELECT post_id, ts, link AS full_url, regexp_extract(link, '([
 _TOKENS = r"list_filter(regexp_split_to_array(lower(regexp_replace({}, '<[^>]+>', ' ', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _VECS = "ve AS (SELECT post_id, arg_min(embedding, created_at) AS e FROM post_embeddings WHERE model_version = 'minisent-v1' AND len(embedding) = 384 GROUP BY 1)"
 _QUERY = "(SELECT e FROM ve WHERE post_id = (SELECT min(post_id) FROM ve SEMI JOIN ppr_seeds USING (post_id)))"
-_COS = "coalesce(list_cosine_similarity(e::DOUBLE[], q::DOUBLE[]), 0)"
+_COS = "CASE WHEN isnan(list_cosine_similarity(e::DOUBLE[], q::DOUBLE[])) THEN 0 ELSE list_cosine_similarity(e::DOUBLE[], q::DOUBLE[]) END"
 MODEL = "minisent-v1"
 
 
