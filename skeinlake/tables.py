@@ -30,8 +30,9 @@ def once(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     columns = tuple(c for c in columns if c not in keys)
     if not columns:
         return df.select(*keys).distinct()
-    by = F.col("created_at") if "created_at" in df.columns else F.struct(*columns)
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*columns), by).alias("_r")).select(*keys, "_r.*")
+    if "created_at" in df.columns:  # one aggregate for each column, so Catalyst drops those that nothing reads
+        return df.groupBy(*keys).agg(*(F.min_by(c, "created_at").alias(c) for c in columns))
+    return df.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_r")).select(*keys, "_r.*")
 
 
 def board_code(c: Column) -> Column:
