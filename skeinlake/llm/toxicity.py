@@ -249,7 +249,10 @@ def labelled(spark: SparkSession, posts: DataFrame, labels: DataFrame, bound: in
     """Token lists of up to ``bound`` labelled posts and the share of raters who object to each."""
     votes = labels.where("post_id is not null and label is not null").groupBy("post_id").agg(F.avg((F.col("label") != "clean").cast("double")).alias("bad"))
     votes = votes.orderBy(F.xxhash64("post_id"), "post_id").limit(bound)
-    rows = posts.select(F.col("id").alias("post_id"), "subject", "comment_raw").join(votes, "post_id").dropDuplicates(["post_id"]).toArrow().to_pylist()
+    if bound > LABELLED:
+        raise ValueError(f"at most {LABELLED} labelled posts")
+    # the bound is that of the broadcast: 16 bytes a row
+    rows = posts.select(F.col("id").alias("post_id"), "subject", "comment_raw").join(F.broadcast(votes), "post_id").dropDuplicates(["post_id"]).toArrow().to_pylist()
     rows.sort(key=lambda r: r["post_id"])
     return [tokens(r["subject"], r["comment_raw"]) for r in rows], np.array([r["bad"] for r in rows])
 
