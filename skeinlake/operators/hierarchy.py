@@ -6,6 +6,10 @@ pointer graph, about 1/SPACING of the nodes; it is solved the same way, and each
 result. A round in which no walk ends proves that all that are left run in circles: of the finite walks that are left,
 the shortest would have ended. So nodes on or below a loop are known exactly, whether it holds a splitter or not, and are
 solved apart, with the minimum over the loop.
+
+A node below a loop has a path too, from the first node of the loop that its parents lead to, which is a loop node's own
+path. These paths are those of the trees that are left when the nodes of loops lose their parents. The places of nodes
+on their loop come from the loop cut open above its root; with them every pair round the loop has its distance.
 """
 
 from __future__ import annotations
@@ -51,13 +55,14 @@ def _double(stage: Stage, walk: DataFrame, with_path: bool) -> DataFrame:
 
 
 def _loops(stage: Stage, edges: DataFrame, order: str) -> DataFrame:
-    """node, root of nodes on or below loops; ``edges`` is closed: the parent of a node of it is in it.
+    """node, root, on of nodes on or below loops; ``edges`` is closed: the parent of a node of it is in it.
 
-    After 2^k jumps a pointer is on its loop. For a node of the loop the minimum over 2^k steps is that of the loop.
+    After 2^k jumps a pointer is on its loop. For a node of the loop the minimum over 2^k steps is that of the loop. As
+    many jumps take the nodes of a loop to all nodes of it, so those that are pointed at then are the nodes on loops.
     """
     n = edges.count()
     if not n:
-        return edges.select("node", F.col("node").alias("root"))
+        return edges.select("node", F.col("node").alias("root"), F.lit(True).alias("on"))
     w = edges.select("node", F.col("parent").alias("ptr"), F.struct(F.col(order), F.col("node").alias("k")).alias("low"))
     for _ in range(math.ceil(math.log2(n + 1)) + 1):
         to = w.select(F.col("node").alias("_n"), F.col("ptr").alias("_p"), F.col("low").alias("_l"))
@@ -69,15 +74,32 @@ def _loops(stage: Stage, edges: DataFrame, order: str) -> DataFrame:
         stage.drop(w)
         w = new
     on = w.select(F.col("node").alias("_n"), F.col("low.k").alias("root"))
-    return w.join(on, F.col("ptr") == F.col("_n")).select("node", "root")
+    ring = w.select(F.col("ptr").alias("node")).distinct().withColumn("on", F.lit(True))
+    return w.join(on, F.col("ptr") == F.col("_n")).join(ring, "node", "left").select(
+        "node", "root", F.coalesce("on", F.lit(False)).alias("on")
+    )
+
+
+def _loop_paths(spark: SparkSession, stage: Stage, circular: DataFrame, loops: DataFrame, order: str) -> DataFrame:
+    """node, root, path, turn of nodes on or below loops: see ``solve``."""
+    at = stage.cut(circular.join(loops, "node"))
+    if not at.limit(1).count():
+        return at.select("node", "root", F.array("node").alias("path"), F.lit(0).cast("long").alias("turn"))
+    opened = at.where("on").select("node", F.when(F.col("node") != F.col("root"), F.col("parent")).alias("parent"), order)
+    turns = solve(spark, opened, order).select(F.col("node").alias("_e"), F.col("root").alias("_r"), F.col("depth").alias("turn"))
+    trees = at.select("node", F.when(~F.col("on"), F.col("parent")).alias("parent"), order)
+    below = solve(spark, trees, order, True).select("node", F.col("root").alias("_e"), "path")
+    return below.join(turns, "_e").select("node", F.col("_r").alias("root"), "path", "turn")
 
 
 def solve(spark: SparkSession, edges: DataFrame, order: str = "num", with_path: bool = False) -> DataFrame:
-    """node, root, depth (and path, from the root to the node) of every node of ``edges``: node, parent, ``order``.
+    """node, root, depth (and path, from the root to the node, and turn) of every node of ``edges``: node, parent, ``order``.
 
     One row for each node; a null parent, or one that is no node, makes a root, of depth 0. On or below a loop the depth
-    is -1, the root is the loop's node of the smallest ``order``, and there is no path. Repeated equal rows count once;
-    of differing ones the smallest parent is taken. Null nodes take no part. An empty table gives an empty one.
+    is -1, the root is the loop's node of the smallest ``order``, and the path starts at the first node of the loop that
+    is met on the way up, so a node of the loop is a path of its own. ``turn`` is the distance of that first node from
+    the root, round the loop, and null in trees. Repeated equal rows count once; of differing ones the smallest parent
+    is taken. Null nodes take no part. An empty table gives an empty one.
     """
     stage = Stage(spark, "hierarchy")
     seg = lambda c: [F.array(c).alias("seg")] if with_path else []
@@ -125,13 +147,14 @@ def solve(spark: SparkSession, edges: DataFrame, order: str = "num", with_path:
     ).unionByName(below)
     solved = stage.cut(solved)
     circular = flat.join(solved.select("node"), "node", "left_anti").select("node", "parent", order)
-    loops = _loops(stage, stage.cut(circular), order)
+    circular = stage.cut(circular)
+    loops = _loops(stage, circular, order)
     stage.drop(walk, reduced)
+    if with_path:
+        loops = _loop_paths(spark, stage, circular, loops, order)
+        solved = solved.withColumn("turn", F.lit(None).cast("long"))
     return solved.unionByName(
-        loops.select(
-            "node", "root", F.lit(-1).cast("long").alias("depth"),
-            *([F.lit(None).cast("array<string>").alias("path")] if with_path else []),
-        )
+        loops.select("node", "root", F.lit(-1).cast("long").alias("depth"), *(["path", "turn"] if with_path else []))
     )
 
 
@@ -185,7 +208,7 @@ def _number(c: str):
 
 
 def reply_trees(spark: SparkSession, sf_dir: str, with_path: bool = False) -> DataFrame:
-    """hierarchy, node_key, root_key, depth (and path): both hierarchies, solved in one run, as their keys carry the kind."""
+    """hierarchy, node_key, root_key, depth (and path, turn): both hierarchies, solved in one run, as their keys carry the kind."""
     tag = lambda c: F.concat("hierarchy", F.lit("|"), F.col(c))
     edges = resto_edges(spark, sf_dir).unionByName(quote_edges(spark, sf_dir)).select(
         tag("key").alias("node"), tag("parent").alias("parent"), "num"
@@ -193,14 +216,32 @@ def reply_trees(spark: SparkSession, sf_dir: str, with_path: bool = False) -> Da
     bare = lambda c: F.substring_index(c, "|", -1)
     return solve(spark, edges, "num", with_path).select(
         F.substring_index("node", "|", 1).alias("hierarchy"), bare("node").alias("node_key"), bare("root").alias("root_key"), "depth",
-        *([F.transform("path", lambda k: F.substring_index(k, "|", -1)).alias("path")] if with_path else []),
+        *([F.transform("path", lambda k: F.substring_index(k, "|", -1)).alias("path"), F.col("turn")] if with_path else []),
     )
 
 
 def descendants(paths: DataFrame) -> DataFrame:
-    """hierarchy, node_key, descendant_key, distance: every pair of a node and a node below it, from the paths."""
-    return paths.where("depth > 0").select(
-        "hierarchy", F.col("node_key").alias("descendant_key"), "depth", F.posexplode("path").alias("at", "node_key")
-    ).where("at < depth").select(
-        "hierarchy", "node_key", "descendant_key", (F.col("depth") - F.col("at")).alias("distance")
+    """hierarchy, node_key, descendant_key, distance: every pair of a node and a node below it, from the paths.
+
+    The nodes of a loop are above each other and above all that hangs below the loop. Each pair comes once, with its
+    shortest distance; a node is no descendant of itself. Paths without ``turn`` are those of trees.
+    """
+    length = F.size("path") - 1
+    inner = paths.where(length > 0).select(
+        "hierarchy", F.col("node_key").alias("descendant_key"), length.cast("long").alias("length"), F.posexplode("path").alias("at", "node_key")
+    ).where("at < length").select(
+        "hierarchy", "node_key", "descendant_key", (F.col("length") - F.col("at")).alias("distance")
+    )
+    if "turn" not in paths.columns:
+        return inner
+    looped = paths.where("turn is not null")
+    ring = looped.where(length == 0).select("hierarchy", "root_key", "node_key", F.col("turn").alias("place"))
+    sizes = ring.groupBy("hierarchy", "root_key").agg(F.count("*").alias("n"))
+    around = (
+        looped.select("hierarchy", "root_key", F.col("node_key").alias("descendant_key"), length.cast("long").alias("length"), "turn")
+        .join(sizes.where("n > 1"), ["hierarchy", "root_key"])
+        .join(ring, ["hierarchy", "root_key"])
+        .where("place <> turn")
+        .select("hierarchy", "node_key", "descendant_key", (F.col("length") + F.pmod(F.col("turn") - F.col("place"), F.col("n"))).alias("distance"))
     )
+    return inner.unionByName(around)

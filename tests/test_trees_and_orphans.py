@@ -72,6 +72,36 @@ def test_descendants(spark):
     assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
 
 
+def climb(parents):
+    """Paths and (node, descendant) -> distance, by following parents until a node comes again."""
+    paths, pairs = {}, {}
+    for n in parents:
+        up, at = [n], parents[n]
+        while at is not None and at in parents and at not in up:
+            up.append(at)
+            at = parents[at]
+        pairs |= {(a, n): d for d, a in enumerate(up) if d}
+        first = up.index(at) if at in up else len(up) - 1  # the first node of the loop, or the root
+        on_loop = lambda m: at in up and m in up[first:]
+        paths[n] = up[: next(i for i, m in enumerate(up) if on_loop(m) or i == first) + 1][::-1]
+    return paths, pairs
+
+
+@pytest.mark.parametrize("parents", [
+    {"1": "2", "2": "3", "3": "1", "4": "3", "5": "4", "6": "4", "7": "7", "8": "7", "9": "8", "10": None, "11": "10", "12": "99", "13": "12"},
+    {str(i): str((i * 7 + 3) % 50) if i % 9 else None for i in range(120)},
+    {str(i): str(i - 1 if i else 24) if i < 25 else str(i // 2) for i in range(70)},
+])
+def test_paths_and_descendants_of_loops(spark, parents):
+    rows = spark.createDataFrame([(n, p, int(n)) for n, p in parents.items()], "node string, parent string, num long")
+    solved = hierarchy.solve(spark, rows, with_path=True)
+    paths, pairs = climb(parents)
+    assert {r["node"]: (r["root"], r["depth"], r["path"]) for r in solved.collect()} == {n: (*walk(parents)[n], paths[n]) for n in parents}
+    got = hierarchy.descendants(solved.select(F.lit("r").alias("hierarchy"), F.col("node").alias("node_key"), F.col("root").alias("root_key"), "depth", "path", "turn")).collect()
+    assert len(got) == len(pairs)
+    assert {(r["node_key"], r["descendant_key"]): r["distance"] for r in got} == pairs
+
+
 @pytest.mark.parametrize("parents, targets", [([], ["x", "x", None]), (["a", None, "a"], []), (["a", "b", "ç", "😀", "aa"], ["a", "ç", "é", "😀", "zz", "", None, "aa", "a"])])
 def test_missing_keys(spark, parents, targets):
     df = lambda v: spark.createDataFrame([(x, 1) for x in v], "key string, is_target long")
