@@ -113,6 +113,33 @@ def test_pieces(spark):
     assert pieces.pieces(docs(spark, []).limit(0)).count() == 0
 
 
+def _cut(text, limit=512, overlap=64):
+    data = text.encode()
+    ids, at, _, _ = ENC.fragments(pa.array([text]))
+    return [(data[p:q].decode(), n) for p, q, n in pieces.cut_text(ENC, ids, at, data, 0, len(data), limit, overlap)]
+
+
+@pytest.mark.parametrize("text, ends", [
+    ("".join(f"吾輩は猫である{i}、名前はまだ無い。" for i in range(200)), "。"),
+    ("".join(f"「どこで生れたか{i}とんと見当がつかぬ。」" for i in range(200)), "」"),
+    ("".join(f"他走了{i}公里！你呢？" for i in range(300)), "！？"),
+    ("\n".join(f"薄暗いじめじめした所でニャーニャー泣いて{i}いた。" * 3 for i in range(80)), "。"),
+    (" ".join(f"caf{i} passé" for i in range(500)), "0123456789é"),
+])
+def test_pieces_end_at_boundaries_of_the_text(text, ends):
+    out = _cut(text)
+    assert len(out) > 2
+    for piece, n in out:
+        assert n == len(ENC.bpe.encode_ordinary(piece)) <= 512
+    assert all(piece[-1] in ends for piece, _ in out[:-1])
+
+
+def test_paragraphs_after_wide_stops():
+    text = "\n\n".join("".join(f"吾輩は猫である{i}{j}。" for j in range(12)) for i in range(40))
+    out = _cut(text)
+    assert all(text[(at := text.index(piece) + len(piece)) : at + 2] == "\n\n" for piece, _ in out[:-1])
+
+
 def test_held_out_personal_data():
     field, right, n = pii.fit(), 0, 0
     for author in (False, True):
