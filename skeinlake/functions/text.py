@@ -124,7 +124,7 @@ def levenshtein_bytes(a: Column, b: Column) -> Column:
 
 def title_similarity(a: Column, b: Column) -> Column:
     """0 for a blank title, 1 for equal ones, the ratio of lengths for a prefix, else one less the relative edit distance."""
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    x, y = (F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", "") for c in (a, b))
     short, long_ = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
     return (
         F.when(a.isNull() | b.isNull() | (x == "") | (y == ""), 0.0)
@@ -136,7 +136,7 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 def text_similarity(a: Column, b: Column) -> Column:
     """How many words of b, repeats counted, occur in a, over the longer text's number of words."""
-    split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    split = lambda c: F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != "")
 
     def ratio(p: Column) -> Column:
         x, y = p["x"], p["y"]

@@ -311,7 +311,7 @@ _SIM = "CASE WHEN x.t = y.t THEN 1.0 WHEN starts_with(x.t, y.t) OR starts_with(y
 @query("title_similarity", f"WITH {_THREADS}, {_TITLES}, x AS (SELECT * FROM ti WHERE t ~ '^[ -~]*$') SELECT x.thread_id AS a, y.thread_id AS b, round({_SIM.format(lev='levenshtein(x.t, y.t)')}, 6)::DOUBLE AS similarity FROM x JOIN x y ON y.thread_id = x.thread_id + 1")
 def title_similarity(s, d):
     t = tables.once(s, d, "threads", "board_id", "thread_native_id", "subject", "sticky", "locked", "archived")
-    t = t.where(r"trim(subject) <> '' and trim(lower(subject)) rlike '^[ -~]*$'").select(F.col("id").alias("a"), F.col("subject").alias("s1"))
+    t = t.where("trim(subject) <> ''").select(F.col("id").alias("a"), F.col("subject").alias("s1"))
     u = t.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("s1").alias("s2"))
     return t.join(u, "a").select("a", "b", F.round(text.title_similarity(F.col("s1"), F.col("s2")), 6).alias("similarity"))
 
@@ -319,7 +319,7 @@ def title_similarity(s, d):
 @query("text_similarity", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND text ~ '^[\x09-\x0d -~]*$')
   SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN round(len(list_filter(b.w, lambda x: list_contains(a.w, x))) / greatest(len(a.w), len(b.w)), 6) ELSE 0 END::DOUBLE AS similarity FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
 def text_similarity(s, d):
-    t = tables.load(s, d, "documents").where(r"text rlike '^[\\x09-\\x0d -~]*$'").select(F.col("doc_id").alias("a"), F.col("text").alias("t1"))
+    t = tables.load(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("a"), F.col("text").alias("t1"))
     u = t.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("t1").alias("t2"))
     return t.join(u, "a").select("a", "b", F.round(text.text_similarity(F.col("t1"), F.col("t2")), 6).alias("similarity"))
 
@@ -341,9 +341,8 @@ _GAP = 1000
     FROM sp x JOIN sp y ON x.board_id = y.board_id AND x.thread_id <> y.thread_id WHERE x.archived AND y.first_ts > x.last_ts AND y.first_ts <= x.last_ts + INTERVAL {_GAP} HOUR)
   SELECT * FROM pr WHERE title_similarity >= 0.8""")
 def thread_continuity(s, d):
-    """Links by titles alone; the similarity of opening posts has its own query."""
-    spans = _thread_spans(s, d).where("subject rlike '^[ -~]*[!-~][ -~]*$'")
-    return lineage.continuity(spans, _GAP, body=2.0).select("prev_thread_id", "next_thread_id", "time_gap_hours", "title_similarity")
+    """Links by titles or by opening posts, of threads with any subject or none."""
+    return lineage.continuity(_thread_spans(s, d), _GAP).select("prev_thread_id", "next_thread_id", "time_gap_hours", "title_similarity")
 
 
 @query("thread_pointers")

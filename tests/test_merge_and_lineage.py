@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from skeinlake import plans
 from skeinlake.functions import text
 from skeinlake.operators import anomaly, archive, graph, lineage, merge, search, stylometry, trends
 
@@ -119,3 +120,53 @@ def test_download_policy_and_sample(spark):
     assert got == [False, False, True, True]
     a, b = (archive.sample(spark.range(100), "id", 10, 3).collect() for _ in range(2))
     assert a == b and len(a) == 10
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _titles_alike(a, b):
+    x, y = (a or "").lower().strip(), (b or "").lower().strip()
+    if not x or not y:
+        return 0.0
+    if x.startswith(y) or y.startswith(x):
+        return round(min(len(x), len(y)) / max(len(x), len(y)), 6)
+    return round(1 - _levenshtein(x, y) / max(len(x), len(y)), 6)
+
+
+def _texts_alike(a, b):
+    x, y = (a or "").lower().split(), (b or "").lower().split()
+    return round(sum(w in x for w in y) / max(len(x), len(y)), 6) if x and y else 0.0
+
+
+_ALIEN = ["caf\u00e9 du matin", "Caf\u00e9  du  soir", "\u5929\u6c17 \u306e \u8a71", "\u5929\u6c17\u3000\u306e\u3000\u8a71", "\u3000\u5929\u6c17 \u306e\u3000", "plain words", None, " ", "plain w\u00f6rds", "plain words \U0001f600"]
+
+
+def test_similarity_queries_take_any_script(spark, tmp_path):
+    q, d = plans.queries(), str(tmp_path)
+    spark.createDataFrame(list(enumerate(_ALIEN)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    rows = [(i, 1, str(i), s, False, False, True, T) for i, s in enumerate(_ALIEN)]
+    spark.createDataFrame(rows, "id long, board_id long, thread_native_id string, subject string, sticky boolean, locked boolean, archived boolean, created_at timestamp_ntz").write.parquet(f"{d}/threads.parquet")
+    pairs = [(i, i + 1) for i in range(len(_ALIEN) - 1) if _ALIEN[i] is not None and _ALIEN[i + 1] is not None]
+    got = {(r["a"], r["b"]): r["similarity"] for r in q["text_similarity"](spark, d).collect()}
+    assert got == {(a, b): _texts_alike(_ALIEN[a], _ALIEN[b]) for a, b in pairs}
+    got = {(r["a"], r["b"]): r["similarity"] for r in q["title_similarity"](spark, d).collect()}
+    assert got == {(a, b): _titles_alike(_ALIEN[a], _ALIEN[b]) for a, b in pairs if _ALIEN[a].strip(" ") and _ALIEN[b].strip(" ")}
+
+
+def test_thread_continuity_takes_any_subject_and_opening_posts(spark, monkeypatch):
+    subjects = ["\u5929\u6c17\u306e\u8a71 1", "\u5929\u6c17\u306e\u8a71 2", None, "", "apples", "pears"]
+    bodies = ["a", "b", "one two three four", "one two three four", "the same text here", "the same text here"]
+    rows = [(i, 1, s, True, T + timedelta(hours=3 * i), T + timedelta(hours=3 * i + 1), b) for i, (s, b) in enumerate(zip(subjects, bodies))]
+    spans = spark.createDataFrame(rows, "thread_id long, board_id long, subject string, archived boolean, first_ts timestamp_ntz, last_ts timestamp_ntz, op_text string")
+    monkeypatch.setattr(plans.reference, "_thread_spans", lambda s, d: spans)
+    got = {(r[0], r[1]): r["title_similarity"] for r in plans.queries()["thread_continuity"](spark, "").collect()}
+    alike = {(i, j): _titles_alike(subjects[i], subjects[j]) for i in range(6) for j in range(i + 1, 6)}
+    assert got == {(i, j): t for (i, j), t in alike.items() if t >= 0.8 or _texts_alike(bodies[i], bodies[j]) >= 0.75}
+    assert set(got) == {(0, 1), (2, 3), (4, 5)}
