@@ -281,24 +281,25 @@ _CODES = "co AS (SELECT vec_id AS blob_id, list_sum(list_transform(range(1, 25),
 
 
 def _codes(s, d):
-    return tables.load(s, d, "embeddings").select(F.col("vec_id").alias("blob_id"), vectors.bits(F.slice("embedding", 1, 24)).alias("code"))
+    """The signs of all 64 values of each vector."""
+    return tables.load(s, d, "embeddings").select(F.col("vec_id").alias("blob_id"), vectors.bits(F.col("embedding")).alias("code"))
 
 
 @query("crosspost_near_pairs", f"WITH {_CODES} SELECT x.blob_id AS a, y.blob_id AS b, bit_count(xor(x.code, y.code))::INTEGER AS distance FROM co x JOIN co y ON x.blob_id < y.blob_id WHERE bit_count(xor(x.code, y.code)) <= 3")
 def crosspost_near_pairs(s, d):
-    return lineage.near_pairs(_codes(s, d), 3)
+    return lineage.near_pairs(_codes(s, d))
 
 
 @query("crosspost_clusters")
 def crosspost_clusters(s, d):
     codes = _codes(s, d)
-    return lineage.leaders(s, codes.select(F.col("blob_id").alias("node")), lineage.near_pairs(codes, 3))
+    return lineage.leaders(s, codes.select(F.col("blob_id").alias("node")), lineage.near_pairs(codes))
 
 
 @query("lineage_tree")
 def lineage_tree(s, d):
     codes = _codes(s, d)
-    pairs = lineage.near_pairs(codes, 3)
+    pairs = lineage.near_pairs(codes)
     led = lineage.leaders(s, codes.select(F.col("blob_id").alias("node")), pairs)
     members = led.select("node", F.col("leader").alias("cluster"), F.col("node").alias("first_seen"))
     return lineage.lineage_tree(members, pairs)

@@ -170,3 +170,21 @@ def test_thread_continuity_takes_any_subject_and_opening_posts(spark, monkeypatc
     alike = {(i, j): _titles_alike(subjects[i], subjects[j]) for i in range(6) for j in range(i + 1, 6)}
     assert got == {(i, j): t for (i, j), t in alike.items() if t >= 0.8 or _texts_alike(bodies[i], bodies[j]) >= 0.75}
     assert set(got) == {(0, 1), (2, 3), (4, 5)}
+
+
+def test_crosspost_queries_use_all_signs(spark, tmp_path):
+    r = random.Random(5)
+    base = [[r.choice((-1.0, 1.0)) for _ in range(64)] for _ in range(6)]
+    flip = lambda v, at: [-x if i in at else x for i, x in enumerate(v)]
+    vecs = base + [flip(base[0], range(60, 64)), flip(base[0], range(24, 64)), flip(base[1], range(8)), flip(base[1], range(9)), flip(base[2], [0, 30, 63]), base[3]]
+    spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    far = lambda a, b: sum((x > 0) != (y > 0) for x, y in zip(vecs[a], vecs[b]))
+    want = {(a, b): far(a, b) for a in range(len(vecs)) for b in range(a + 1, len(vecs)) if far(a, b) <= 8}
+    assert {(0, 6), (1, 8), (2, 10), (3, 11), (8, 9)} == set(want)
+    q, d = plans.queries(), str(tmp_path)
+    got = q["crosspost_near_pairs"](spark, d).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["distance"] for r in got} == want
+    leader = {i: i for i in range(len(vecs))} | {6: 0, 8: 1, 10: 2, 11: 3}
+    assert {r["node"]: r["leader"] for r in q["crosspost_clusters"](spark, d).collect()} == leader
+    tree = {r["node"]: r["parent"] for r in q["lineage_tree"](spark, d).collect()}
+    assert {n: p for n, p in tree.items() if p is not None} == {6: 0, 8: 1, 10: 2, 11: 3}
