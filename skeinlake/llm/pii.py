@@ -1,6 +1,6 @@
 """Personal data in free text, by a linear-chain conditional random field.
 
-Lines are words between blanks. A word's features are its lower-case form where the labelled table has it, its shape, its
+Lines are words between blanks. A word's features are its lower-case form where it links or announces values, its shape, its
 ends, and classes such as a public form of number; a label's score adds those of the word and of two words on either side.
 Words recur, so their scores are computed once for a worker and a text is scored by gathering rows. Labels mark begin and
 inside of each type. Decoding is by Viterbi in numpy, over many lines at a time. Lines in which no word's score for any type
@@ -9,10 +9,13 @@ could outweigh its score for none, whatever the transitions, have no other best
 
 from __future__ import annotations
 
+import base64
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,25 +23,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pii_examples
+from .tokens import default_vocabulary
 
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 LABELS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 REACH = (-2, -1, 0, 1, 2)
-STEPS, RATE, RIDGE = 110, 0.15, 2e-4
+STEPS, RATE, RIDGE = 80, 0.15, 2e-4
+#: Labelled lines of a part of the fit, all of like length.
+PART = 1500
 #: Distinct words that a worker remembers, and rows that it works on at a time.
 MEMO, CHUNK = 200_000, 2000
+#: Words of the public vocabulary that filler is drawn from, of either case.
+FILLER = 8000
 
 _TAG = re.compile(r"<(?:br|/p|/div|/li|/blockquote)[^>]*>", re.I)
 _ANY = re.compile(r"<[^>]*>")
 _OUTER = "()[]{}<>«»“”\"'’.,;:!?…"
-_GIVEN = frozenset(pii_examples.GIVEN)
-_STREETS = frozenset(s.strip(".").lower() for s in (*pii_examples.STREET_EN, "calle", "avenida", "rue", "via", "straße", "strasse", "apt", "flat"))
-_MAIL = re.compile(r"[^@\s]+(@|＠|\(at\)|\[at\])[^@\s]+\.[a-z]{2,}", re.I)
-_FILE = re.compile(r"\.(png|jpe?g|gif|webm|svg|webp)$", re.I)
+def _bare(word: str) -> str:
+    """Without accents."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word.replace("ø", "o").replace("ł", "l")) if not unicodedata.combining(c))
+
+
+_GIVEN = frozenset(map(_bare, pii_examples.GIVEN))
+_STREETS = frozenset(w.strip(".").lower() for w in (*pii_examples.STREET_EN, *pii_examples.STREET_DE, *pii_examples.STREET_ROMANCE))
+_STREET_END = re.compile(r".{3,}(stra(ß|ss)e|str|weg|gasse|platz|allee|ring|ufer|straat|laan|gatan|vej)$")
+_UNITS = frozenset("apt apartment flat unit suite floor".split())
+_MAIL = re.compile(r"[^@\s]+(@|＠|\(at\)|\[at\]|\{at\})[^@\s]+(\.|\(dot\)|\[dot\])[a-z]{2,}$", re.I)
+_FILE = re.compile(r"\.(png|jpe?g|gif|webm|svg|webp|mp4|pdf|txt|zip)$", re.I)
 _KINDS = (
-    ("tel", re.compile(r"(tel:)?\+?\d[\d().-]{8,}$")), ("555", re.compile(r"\(?\d{3}[).-]?555[-.]?\d{4}$")), ("plus", re.compile(r"\+\d{1,3}$")), ("area", re.compile(r"\(\d+\)\d*$")),
-    ("ssn", re.compile(r"\d{3}-\d{2}-\d{4}$")), ("dni", re.compile(r"[A-Za-z]-?\d{7}-?[A-Za-z]$|\d{8}-?[A-Za-z]$|[A-Za-z]{1,2}\d{6,8}[A-Za-z]?$")), ("house", re.compile(r"\d{1,3}[a-d]?$")), ("floor", re.compile(r"\dº")),
-    ("dots", re.compile(r"\d+\.\d+\.\d+")), ("date", re.compile(r"\d{4}-\d\d-\d\d$|\d\d:\d\d$")), ("isbn", re.compile(r"97[89]-")), ("initial", re.compile(r"[^\W\d_]\.$")), ("ref", re.compile(r">>")),
+    ("intl", re.compile(r"(tel:)?\+\d[\d().-]{8,}$|00\d{2}[\d().-]{8,}$")), ("nanp", re.compile(r"\(?\d{3}[).-]\d{3}[-.]\d{4}$")), ("plus", re.compile(r"\+\d{1,3}$")), ("area", re.compile(r"\(\d+\)\d*$")), ("trunk", re.compile(r"0\d{2,4}$")), ("local", re.compile(r"0\d{2,4}[-/.]?\d{5,8}$")),
+    ("ssn", re.compile(r"\d{3}-\d{2}-\d{4}$")), ("dni", re.compile(r"[A-Za-z]-?\d{7}-?[A-Za-z]$|\d{8}-?[A-Za-z]$|[A-Za-z]{1,2}\d{6,8}[A-Za-z]?$")), ("house", re.compile(r"\d{1,3}[a-d]?$")), ("floor", re.compile(r"\dº")), ("zip", re.compile(r"\d{5}$|[A-Z]{1,2}\d{1,2}$|\d[A-Z]{2}$", re.I)),
+    ("dots", re.compile(r"v?\d+\.\d+")), ("date", re.compile(r"\d{4}-\d\d-\d\d$|\d\d:\d\d$|\d{1,2}[./]\d{1,2}[./]\d{2,4}$")), ("isbn", re.compile(r"97[89]-")), ("initial", re.compile(r"[^\W\d_]\.$")), ("ref", re.compile(r">>")),
 )
 
 
@@ -60,7 +75,38 @@ def _shape(w: str) -> str:
     return "".join(out)[:14]
 
 
-def features(word: str, known: frozenset[str]) -> list[str]:
+class Lexicon:
+    """Words that features name: those of the labelled table, and the common words of a public vocabulary."""
+
+    def __init__(self, known: frozenset[str], common: frozenset[str], proper: frozenset[str]):
+        self.known, self.common, self.proper = known, common, proper
+
+
+def vocabulary_path() -> Path:
+    """The installed public tokenizer for many languages."""
+    return Path(default_vocabulary()).with_name("byte_bpe_multi_50k.tiktoken")
+
+
+def vocabulary(path: str) -> tuple[list[str], list[str]]:
+    """Lower-case and capitalised words, the commonest first, that are tokens of the tokenizer at ``path``."""
+    lower, names = [], []
+    with open(path, "rb") as f:
+        for line in f:
+            token = base64.b64decode(line.split()[0])
+            try:
+                w = token.decode()
+            except UnicodeDecodeError:
+                continue
+            if w[:1] == " " and len(w) > 2 and w[1:].isalpha():
+                if w[1:].islower():
+                    lower.append(w[1:])
+                elif w[1:].istitle():
+                    names.append(w[1:])
+    have = set(lower)
+    return lower, [n for n in names if n.lower() not in have]
+
+
+def features(word: str, lexicon: Lexicon) -> list[str]:
     """The names of a word's features."""
     if word in ("<s>", "<a>", "</s>"):
         return [word]
@@ -68,47 +114,61 @@ def features(word: str, known: frozenset[str]) -> list[str]:
     low = bare.lower()
     lead, tail = word[: len(word) - len(word.lstrip(_OUTER))], word[len(word.rstrip(_OUTER)) :]
     f = ["1", "s=" + _shape(bare), "t=" + tail[:2], "l=" + lead[:1]]
-    if low in known:
-        f.append("w=" + low + (":" if ":" in tail else ""))
+    if low in lexicon.known:
+        f.append("w=" + low)
+    for kind in _CUE_OF.get(low, ()):
+        f.append("cue=" + kind)
+        if ":" in tail:
+            f.append("cue:=" + kind)
+    title = bare[:1].isupper() and bare[1:].islower()
+    if _bare(low) in _GIVEN:  # in lower case, some are words
+        f += ["given word-"] if low in lexicon.common and bare == low else ["given", "Given" if title else "given^" if bare.isupper() else "given-"]
     elif bare.isalpha():
-        f.append("new")
-    if low in _GIVEN:
-        f.append("given")
-    if low in _STREETS or low.endswith(("straße", "strasse", "weg", "gasse", "platz", "allee")) and len(low) > 4:
+        kind = "proper" if low in lexicon.proper else "common" if low in lexicon.common else "new"
+        f += [kind, kind + ("+" if title else "^" if bare.isupper() else "-")]
+    elif "-" in bare or "'" in bare:
+        f.append("joined" + ("+" if title or bare[:1].isupper() else "-"))
+    if low in _STREETS or _STREET_END.match(low):
         f.append("street")
+    if low in _UNITS:
+        f.append("unit")
+    if low in pii_examples.DIGIT_WORDS:
+        f.append("spoken")
     if _MAIL.search(bare):
-        f += ["file"] if _FILE.search(bare) else ["mail"] * 1
-    elif "@" in bare:
+        f.append("file" if _FILE.search(bare) else "mail")
+    elif "@" in bare or "＠" in bare:
         f.append("at")
     n = sum(c.isdigit() for c in bare)
     if n:
-        f.append(f"n={min(n, 9)}")
+        f.append(f"n={min(n, 12)}")
         f.append("alldigits" if bare.isdigit() else "mixed")
     for name, p in _KINDS:
-        if p.match(bare) or name == "initial" and p.match(word):
+        if p.match(word if name in ("initial", "ref") else bare):
             f.append("k=" + name)
-    if bare.isupper() and len(bare) > 1 and bare.isalpha():
-        f.append("caps")
     if low[-3:].isalpha():
         f.append("e=" + low[-3:] if low[-3:] in _ENDS else "e")
     return f
 
 
 _ENDS = frozenset(e[-3:] for e in pii_examples._ENDS if len(e) > 2)
+_CUE_OF: dict[str, list[str]] = {}
+for _kind, _list in pii_examples.CUES.items():
+    for _w in _list:
+        _CUE_OF.setdefault(_w.strip(".").lower(), []).append(_kind)
 
 
 class Field:
     """Weights of features at each reach for each label, and of transitions."""
 
-    def __init__(self, index: dict[str, int], known: frozenset[str], weights: np.ndarray, moves: np.ndarray):
-        self.index, self.known, self.weights, self.moves = index, known, weights, moves
+    def __init__(self, index: dict[str, int], lexicon: Lexicon, weights: np.ndarray, moves: np.ndarray):
+        self.index, self.lexicon, self.weights, self.moves = index, lexicon, weights, moves
         self.memo: dict[str, int] = {}
         self.table = np.zeros((1024, len(REACH), len(LABELS)), dtype=np.float32)
         for w in ("<s>", "<a>", "</s>"):
             self.row(w)
 
     def __getstate__(self):
-        return self.index, self.known, self.weights, self.moves
+        return self.index, self.lexicon, self.weights, self.moves
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -120,7 +180,7 @@ class Field:
             k = len(self.memo)
             if k == len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            at = [self.index[f] for f in features(word, self.known) if f in self.index]
+            at = [self.index[f] for f in set(features(word, self.lexicon)) if f in self.index]
             self.table[k] = self.weights[at].sum(0)
             self.memo[word] = k
         return k
@@ -136,7 +196,7 @@ class Field:
     def decode(self, lines: list[list[str]], author: bool) -> Iterator[tuple[int, np.ndarray]]:
         """The number of each line that holds something, and its labels."""
         if len(self.memo) > MEMO:
-            self.__init__(self.index, self.known, self.weights, self.moves)
+            self.__init__(self.index, self.lexicon, self.weights, self.moves)
         first, last = self.row("<a>" if author else "<s>"), self.row("</s>")
         size = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
         ids = np.full(int(size.sum()) + 4 * len(lines), last, dtype=np.int64)
@@ -193,55 +253,40 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1])
 
 
-@lru_cache(maxsize=1)
-def fit() -> Field:
-    """Maximum conditional likelihood with a ridge on the labelled table, by Adam; gradients by forward-backward."""
-    data = [(a, *_labels(t, s)) for a, t, s in pii_examples.rows()]
-    common: dict[str, int] = {}
-    for line in (pii_examples.PATTERNS + "|" + pii_examples.NEITHER).replace("\n", "|").split("|"):
-        for w in re.sub(r"\{\w+\}", " ", line).split():
-            if (b := w.strip(_OUTER).lower()) and not any(c.isdigit() for c in b):
-                common[b] = 1
-    known = frozenset(common) | _STREETS | {"user", "guy", "fan", "anon", "dr", "zero", "at", "dot", "calle", "del", "port"}
-    seqs = [["<a>" if a else "<s>"] * 2 + w + ["</s>"] * 2 for a, w, _ in data]
-    feats = {w: features(w, known) for s in seqs for w in s}
-    index = {f: k for k, f in enumerate(sorted({f for fs in feats.values() for f in fs}))}
-    words = sorted(feats)
-    number = {w: k for k, w in enumerate(words)}
-    pairs = np.array([(number[w], index[f]) for w in words for f in feats[w]])
-    n, top = len(seqs), max(len(s) for s in seqs) - 4
-    ids = np.full((n, top + 4), number["</s>"])
-    y, mask = np.zeros((n, top), dtype=int), np.zeros((n, top), dtype=bool)
-    for i, (s, (_, _, lab)) in enumerate(zip(seqs, data)):
-        ids[i, : len(s)] = [number[w] for w in s]
-        y[i, : len(lab)], mask[i, : len(lab)] = lab, True
-    k = len(LABELS)
-    w, moves = np.zeros((len(index), len(REACH), k)), np.zeros((k, k))
-    params = [w, moves]
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    gold = np.zeros((n, top, k))
-    gold[np.arange(n)[:, None], np.arange(top), y] = mask
-    gold_moves = np.zeros((k, k))
-    both = mask[:, 1:]
-    np.add.at(gold_moves, (y[:, :-1][both], y[:, 1:][both]), 1)
-    by_word, by_feature = pairs[np.argsort(pairs[:, 0], kind="stable")], pairs[np.argsort(pairs[:, 1], kind="stable")]
-    word_at, feature_at = _starts(by_word[:, 0]), _starts(by_feature[:, 1])
-    places = []
-    for off in REACH:
-        flat = ids[:, 2 + off : 2 + off + top][mask]
-        order = np.argsort(flat, kind="stable")
-        places.append((order, _starts(flat[order]), np.unique(flat)))
-    for step in range(1, STEPS + 1):
-        table = np.add.reduceat(w[by_word[:, 1]], word_at)  # every word has a feature
+class _Part:
+    """Labelled lines of like length."""
+
+    def __init__(self, seqs: list[list[int]], labels: list[list[int]], pad: int):
+        n, top, k = len(seqs), max(map(len, labels)), len(LABELS)
+        self.ids = np.full((n, top + 4), pad)
+        y, self.mask = np.zeros((n, top), dtype=int), np.zeros((n, top), dtype=bool)
+        for i, (s, lab) in enumerate(zip(seqs, labels)):
+            self.ids[i, : len(s)] = s
+            y[i, : len(lab)], self.mask[i, : len(lab)] = lab, True
+        self.gold = np.zeros((n, top, k), dtype=np.float32)
+        self.gold[np.arange(n)[:, None], np.arange(top), y] = self.mask
+        self.gold_moves = np.zeros((k, k))
+        both = self.mask[:, 1:]
+        np.add.at(self.gold_moves, (y[:, :-1][both], y[:, 1:][both]), 1)
+        self.places = []
+        for off in REACH:
+            flat = self.ids[:, 2 + off : 2 + off + top][self.mask]
+            order = np.argsort(flat, kind="stable")
+            self.places.append((order, _starts(flat[order]), np.unique(flat)))
+
+    def gradient(self, table: np.ndarray, moves: np.ndarray, grad_table: np.ndarray) -> np.ndarray:
+        """That of the negative log-likelihood by transitions; that by word scores is added to ``grad_table``."""
+        ids, mask = self.ids, self.mask
+        n, top, k = self.gold.shape
         e = sum(table[ids[:, 2 + off : 2 + off + top], j] for j, off in enumerate(REACH))
-        big = np.exp(moves)
+        big = np.exp(moves).astype(np.float32)
         x = np.exp(e - e.max(2, keepdims=True))
-        fwd, scale = np.zeros((n, top, k)), np.ones((n, top))
+        fwd, scale = np.zeros((n, top, k), dtype=np.float32), np.ones((n, top), dtype=np.float32)
         for t in range(top):
             f = x[:, t] if t == 0 else (fwd[:, t - 1] @ big) * x[:, t]
             scale[:, t] = np.where(mask[:, t], f.sum(1), 1)
             fwd[:, t] = np.where(mask[:, t, None], f / scale[:, t, None], 0)
-        bwd = np.zeros((n, top, k))
+        bwd = np.zeros((n, top, k), dtype=np.float32)
         grad_moves = np.zeros((k, k))
         for t in range(top - 1, -1, -1):
             nxt = mask[:, t + 1] if t + 1 < top else np.zeros(n, dtype=bool)
@@ -253,18 +298,49 @@ def fit() -> Field:
                 bwd[:, t] = 1
         post = fwd * bwd
         post /= np.maximum(post.sum(2, keepdims=True), 1e-30)
-        diff = np.where(mask[:, :, None], post - gold, 0)
-        grad_table = np.zeros_like(table)
-        inner = diff[mask]
-        for j, (order, at, used) in enumerate(places):
-            grad_table[used, j] = np.add.reduceat(inner[order], at)
+        inner = np.where(mask[:, :, None], post - self.gold, 0)[mask]
+        for j, (order, at, used) in enumerate(self.places):
+            grad_table[used, j] += np.add.reduceat(inner[order], at)
+        return grad_moves - self.gold_moves
+
+
+@lru_cache(maxsize=2)
+def fit(path: str | None = None) -> Field:
+    """Maximum conditional likelihood with a ridge on the labelled table, by Adam; gradients by forward-backward.
+
+    ``path`` is the tokenizer whose vocabulary tells common words; without one it is the installed one.
+    """
+    lower, names = vocabulary(path or str(vocabulary_path()))
+    data = [(a, *_labels(t, s)) for a, t, s in pii_examples.rows(lower[:FILLER], names[:FILLER])]
+    literal = re.sub(r"\{\w+\}", " ", " ".join((pii_examples.FRAMES, pii_examples.NEITHER, *(w for v in pii_examples.LINKS.values() for w in v)))).replace("|", " ")
+    known = frozenset(w.strip(_OUTER).lower() for w in literal.split()) | {"at", "dot", "del", "de", "van", "von", "calle", "rue"} - {""}
+    lexicon = Lexicon(known, frozenset(lower), frozenset(n.lower() for n in names))
+    seqs = [["<a>" if a else "<s>"] * 2 + w + ["</s>"] * 2 for a, w, _ in data]
+    feats = {w: tuple(sorted(set(features(w, lexicon)))) for s in seqs for w in s}
+    index = {f: k for k, f in enumerate(sorted({f for fs in feats.values() for f in fs}))}
+    classes = {fs: k for k, fs in enumerate(sorted(set(feats.values())))}  # words of the same features are one
+    number = {w: classes[fs] for w, fs in feats.items()}
+    pairs = np.array([(k, index[f]) for fs, k in classes.items() for f in fs])
+    k = len(LABELS)
+    w, moves = np.zeros((len(index), len(REACH), k), dtype=np.float32), np.zeros((k, k))
+    params = [w, moves]
+    state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    by_word, by_feature = pairs[np.argsort(pairs[:, 0], kind="stable")], pairs[np.argsort(pairs[:, 1], kind="stable")]
+    word_at, feature_at = _starts(by_word[:, 0]), _starts(by_feature[:, 1])
+    order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
+    parts = [_Part([[number[x] for x in seqs[i]] for i in order[s : s + PART]], [data[i][2] for i in order[s : s + PART]], number["</s>"]) for s in range(0, len(seqs), PART)]
+    for step in range(1, STEPS + 1):
+        table = np.add.reduceat(w[by_word[:, 1]], word_at)  # every word has a feature
+        grad_table, grad_moves = np.zeros_like(table), np.zeros((k, k))
+        for part in parts:
+            grad_moves += part.gradient(table, moves, grad_table)
         grad_w = np.add.reduceat(grad_table[by_feature[:, 0]], feature_at)  # every feature has a word
-        grads = [grad_w / n + RIDGE * w, (grad_moves - gold_moves) / n + RIDGE * moves]
+        grads = [grad_w / len(seqs) + RIDGE * w, grad_moves / len(seqs) + RIDGE * moves]
         for p, g, (m, v) in zip(params, grads, state):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= RATE * (1 - 0.9 * step / STEPS) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Field(index, known, w.astype(np.float32), moves.astype(np.float32))
+    return Field(index, lexicon, w.astype(np.float32), moves.astype(np.float32))
 
 
 def spans_of(field: Field, texts: list[str], author: bool) -> list[list[tuple[int, int, str]]]:

@@ -1,7 +1,10 @@
 """The small labelled table that the model of ``pii`` is trained from.
 
-A row is a line of words with its labelled spans, made from patterns of how people give such data away, or write what only
-looks like it, and from values that follow the public forms of numbers and addresses. Nothing is taken from a corpus.
+A row is a line of words with its labelled spans. It is put together at random from three things, none of which comes from
+a corpus: values that follow the public forms of e-mail addresses, telephone and identity numbers, postal addresses and
+personal names; words that announce such a value in several languages; and filler, which is drawn from the words of a
+public tokenizer's vocabulary or made up of syllables. A frame says in which order they come and has no run of three
+literal words, so that a sentence of a corpus can't be learned by heart.
 """
 
 from __future__ import annotations
@@ -9,184 +12,270 @@ from __future__ import annotations
 import random
 import re
 
-#: Common given names of several languages.
+#: Common given names of English, German, French, Spanish, Italian, Nordic, Slavic, Arabic and African use.
 GIVEN = """
-anna maria elena laura sofia lucia carmen ana julia clara emma olivia mia hannah lena greta ulrike petra dagmar brunhild
-wilhelmina hanneke ingrid astrid sigrid freya karin monika heike sabine claire camille juliette coralie manon chloe
-isabelle fenella tamsin jessamy dorrit maelis ysolde isolde rosalba cosima faustina perpetua nadira xanthe zelda alice
-mary elizabeth sarah rachel rebecca susan nancy karen lisa betty helen sandra donna carol ruth sharon michelle kate
-john james robert michael william david richard joseph thomas charles daniel matthew mark paul steven andrew kevin brian
-george edward peter frank jack henry oliver harry tom ben sam luke adam simon martin stefan hans karl klaus jurgen
-wolfgang bertil lars soren anders erik bjorn viggo osric horatio yorick eoin sean liam kasimir piotr jan pavel ivan
-dmitri marcelo amaro ilario marco luca giovanni paolo antonio jose juan carlos luis miguel pedro diego javier gaspard
-pierre jean jacques luc emeka chidi kwame ahmed omar ali hassan odrin jorlan lindsay morgan
+mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret betty sandra ashley emily
+donna michelle carol amanda melissa deborah laura rebecca sharon cynthia amy kathleen angela emma olivia grace alice
+james robert john michael david william richard joseph thomas charles daniel matthew anthony mark paul steven andrew
+kenneth george edward brian kevin jason ryan jacob peter henry adam oliver harry simon philip stephen martin oscar
+anna maria julia sophie lena hannah petra monika sabine ursula heike ingrid stefan klaus jürgen wolfgang hans karl
+dieter uwe matthias sebastian florian lukas jan marie camille claire juliette isabelle nathalie pierre jean jacques
+luc antoine nicolas françois lucia carmen ana elena sofía isabel pilar josé juan carlos luis miguel javier pedro
+diego pablo giulia chiara francesca marco luca giovanni paolo alessandro astrid freya sigrid erik lars anders björn
+søren magnus olga natasha irina ivan dmitri sergei piotr jakub fatima aisha leila ahmed omar ali hassan yusuf amina
+kwame chidi ngozi wei mei hiroshi yuki priya raj arjun
 """.split()
 
+#: Those that are words too.
+GIVEN_WORDS = "mark grace jean wei mei".split()
+
 #: Words for streets.
-STREET_EN = "Street St. St Road Rd Lane Way Court Drive Avenue Ave. Terrace Close Row Square".split()
-STREET_DE = "straße weg platz gasse allee feldweg".split()
-
-#: Patterns; {e} e-mail, {p} phone, {i} id number, {a} address, {n} person, {l} person in lower case, other braces as in ``_other``.
-PATTERNS = """
-write me at {e}|contact {e} for the {w}|mail: {e}|reach me ( {e} )|reach me ({e})|{e} if you want the {w}|old address was {e} , still works
-schreib an {e}|escríbeme a {e}|my address is {e}|écris à {e}|email {e} please|send it to {e} and wait|{e}|you can mail {e} about the {w}
-ring the shop: {p}|ring us: {p}|call {p} after six|text me on {p}|my number is {p}|Tel. {p}|phone {p} and ask for the {w}|llama al {p}|{p} is my cell, no spam please|{p}
-ruf mich an {p}|mon numéro est {p}|whatsapp me {p}|his mobile is {p}|call me: {p}|{w} {w} call {p} after six|{X} {w}. call {p}|Handy {p}
-SSN: {i}|passport no. {i} was in the {w}|the form shows tax id {i}|DNI {i} por si hace falta|national insurance {i} leaked with the {w}
-my id card says {i}|they printed my social security number {i} on the {w}|Ausweisnummer {i}|my passport is {i}|his national id {i} is on it|Steuer-ID {i}
-I live at {a}|send the {w} to {a}|the {w} moved to {a}|pick it up at {a}|parcel came back from {a}|his place is {a} , blue {w}|vivo en {a}
-Abholung: {a}|ich wohne in {a}|she lives at {a} now|j'habite {a}|my flat is {a}|{a}|come to {a} tonight|this his place is {a} , blue door
-ask for {n} at the {w}|my name is {n}|this was written by {n} , same guy as last year|sold to me by {n}|you are talking about {n} , right|signed, {n}
-Gruß, {n}|me llamo {n}|pay {n} in cash|ich heiße {n}|je m'appelle {n}|his real name is {n}|I know {n} from {w}|{n} sold me the {w}|met {n} yesterday
-{w} {w}. my name is {n}|{w} {w} :) me llamo {n}|{w}. ask for {n} at the counter|{w} {w} by {n}|{w} {w}, {w} casing) signed, {n}|{w} pay {n} in cash
-ask for {l} at the {w}|my name is {l}|this was written by {l} , same guy as last year|sold to me by {l}|you are talking about {l} , right|signed, {l}|me llamo {l}|pay {l} in cash|Gruß, {l}
-mail: {e} call {p}|{n} {p}|SSN: {i} Tel. {p}|{w} {w} {e} {w} {w}|I live at {a} call {p}|{n} lives at {a}|ask for {n} at the counter SSN: {i}
+STREET_EN = "Street St. St Road Rd Lane Ln Drive Dr Avenue Ave. Ave Terrace Close Row Square Court Way Boulevard Place Crescent Hill Gardens".split()
+STREET_DE = "straße weg platz gasse allee ring ufer strasse str.".split()
+STREET_ROMANCE = "Calle Avenida Plaza Rue Via Viale Piazza Rua Carrer Paseo".split()
+
+#: Words that announce a value of each type, and words that announce a number of another kind.
+CUES = {
+    "email": "email e-mail mail mailto contact write reach inbox address correo schreib schreibt mailadresse courriel écris écrivez escribe escríbeme skriv posta correio kontakt".split(),
+    "phone": "phone call ring text mobile cell tel telephone number whatsapp signal sms fax dial reach handy telefon mobil rufnummer anrufen ruf móvil teléfono llama llámame téléphone numéro portable appelle telefono chiama cellulare telefoon bel".split(),
+    "id_number": "ssn social security passport identity id licence tax national insurance nino dni nie nif card karte carte tarjeta ausweis personalausweis reisepass steuer-id sozialversicherung pasaporte identidad passeport identité fiscale cpf bsn personnummer".split(),
+    "address": "address live lives living house home flat apartment moved send parcel deliver ship visit lodge wohne wohnt adresse anschrift lieferung dirección vivo vive domicilio habite habita indirizzo abito adres woon residence office pickup".split(),
+    "person_name": "name named called signed regards sincerely mr mrs ms dr prof herr frau señor señora monsieur madame heiße heißt nombre llamo appelle nom gruß grüße saludos cordialement author written met know meet ask boss neighbour landlord teacher doctor lawyer seller sold pay paid yours chiamo naam".split(),
+    "other": "isbn serial order invoice part version build firmware model tracking ticket error code port page room posts thread file bytes price cost total year resistor train track checksum sku item lot batch step chapter issue unix released dump sum seed".split(),
+}
+
+#: Words that link a cue and a value.
+LINKS = {
+    "my": "my his her our their your the mi su mein meine sein ihr mon ma son mijn mio meu a".split(),
+    "is": "is was are es ist war est era è é lautet remains".split(),
+    "no": "no no. number nr nr. num # nummer número numéro code".split(),
+    "by": "by from with for to of von an mit para por de par pour avec da per".split(),
+    "in": "at in to from near on bei in nach en à aan".split(),
+    "kind": "edition station team kit brand series museum company brothers soundtrack poll casing script festival engine league catalogue model pack club".split(),
+    "unit": "bytes posts days hours euros dollars km kg pages people watts volts items seconds copies parts mm".split(),
+    "det": "the a an this that der die das ein eine im am vom el la los un una le les des il".split(),
+}
+
+#: Frames of lines that hold personal data: {e} e-mail, {p} phone, {i} id number, {I} one whose form says so, {a} address,
+#: {n} person, {N} one of a common given name, {l} the same in lower case; {ce} and so on a word that announces it; {w} filler, {X} a made-up name, {C} a capitalised word, {G} a
+#: given name, {d3} three digits; others as in LINKS.
+FRAMES = """
+{e}|{ce} {e}|{ce}: {e}|{my} {ce} {is} {e}|({e})|{w} {e} {w}|{ce} {w} {e}|{e} , {w} {w}|{ce} {by} {e}|{w} {w} {e}|{e} {w} {w}|{ce} {w} {in} {e}|{ce} {w} {w} {e}|{e} {w} {w} {w} {w}
+{p}|{cp} {p}|{cp}: {p}|{my} {cp} {is} {p}|{w} {p}|{cp} {w} {p}|{p} {w} {w}|{p} , {w} {w}|{cp} {in} {p}|{w} {cp} {p} {w}|{w}, {p}|{G} {p}|({p})|{cp} {w} {w} {p}|{cp} {w} {in} {p} {w}
+{ci} {i}|{ci}: {i}|{ci} {no} {i}|{my} {ci} {no} {is} {i}|{ci} {w} {i}|{my} {ci} {is} {i}|{ci} {i} {w} {w}|{w} {ci} {i}|{ci} {is} {i}|{I}|{w} {I} {w}|{my} {ci} {w} {is} {i}|{ci} {w} {w} {i}|{my} {ci} {w} {w} {i}|{my} {w} {ci} {i} {w}
+{ca} {a}|{ca}: {a}|{a}|{my} {ca} {is} {a}|{ca} {in} {a}|{ca} {w} {in} {a}|{w} {in} {a}|{w} {w} {a} , {w} {w}|{a} {w}|{w} {ca} {a}|{w} {a} {w} {w}|{G} {ca} {a}|{ca} {w} {w} {a}
+{cn} {n}|{cn}: {n}|{my} {cn} {is} {n}|{cn} {by} {n}|{N}|{w} {by} {N}|{w} {w} {by} {N} {w} {w}|{N} {w} {w}|{w} {N} , {w} {w}|- {N}|{cn}, {n}|{w} {w} {N}|{w} {cn} {n} {w} {w}|{C} {by} {N}|{w} {is} {N} , {w}|{cn} {w} {N}|{cn} {w} {n}|{cn} {w} {by} {n}|{cn} {n} {w} {w}|{my} {w} {cn} {is} {n}|{cn} {n} {in} {w}
+{cn} {l}|{my} {cn} {is} {l}|{cn} {by} {l}|{w} {by} {l}|{cn}, {l}|{w} {cn} {l} {w}|{w} {w} {l} {w}|{l} {w} {w}|{w} {by} {l} , {w}|{cn} {w} {l}
+{N} {cp} {p}|{ce} {e} {cp} {p}|{N} {ca} {in} {a}|{ci} {i} {cp} {p}|{N} , {a}|{N} ({e})|{cn} {n} {ci} {i}
 """.strip()
 
-#: Patterns of lines without personal data.
+#: Frames of lines without personal data.
 NEITHER = """
-isbn {isbn}|serial {X}-{d3}-{d4}|resistor {d3}-{d2}-{d1}|firmware {d2}.{d2}.{d4}|unix time {d11}|posted {date}|error code {d6}|the dump is {d9} bytes|it cost {d4} in all
-order {d8}|invoice {d7}|part no. {d3}-{d4}|tracking {d12}|build {d5}|version {d1}.{d2}|{w} is at {d3}.{d3}.{d1}.{d2}|{d4} posts in {d2} days|train {d4} leaves at {time} from track {d1}|model {X} {d3}, the {X} {X} edition
-{w}@{w} is not a mail address|icon@2x.png is missing|background@3x.jpg is missing|@{w} said so|{w}@{X} is not a mail address|room {d2} at the {X} Street station|track {d1} at the {X} Road stop|room {d3} on the second floor
-{X} {X} released a new {w}|{X} ({X} {X}, Bauart {X})|{w} {w}, Serie {X} {X} {X}.|{w} {w}, Typ {X} {X} von {X}|{w} {w}, Fundort {Z}, Serie {X} {X} {X}.|the {X} {w} came with a {w} {w} ({X} {w}, {w} casing)
-the new {X} {w} wants a {w} from {X}|{w} has {X} team explained {w}|{X} quietly dropped the {w}|{w} von {X} bei {X}|Niemand verleiht {X} an {X}|Bei {X} lag ein {X}|Der neue {X} von {X}|mein {X} braucht {X}, wie {X} und {X} von {X}
-Nadie presta su {w} a la gente de {X}|{w} de {X} trae un {w}|{X} user|the {w} guy|{w}{d2}|{X}|anon|Anonymous|{w} is {w}, {w} and {w}|looking for scans of the {X} script|Old {X} ads promise a {w} {w}|like the {w} from {X}
-Saw a {w} made of {w}|we had to {w} {w} and {w} twice|to the {X} people from {X}|Then {X} sent me a {w} {w}|not for {X} {X}|{X} wel, caja {w}|in {X} they no longer sell {w}|Tom|{G} is late again|{G} told me to {w}|thanks {G}|ask {G} about it
-{w} {w} {w} {w} {w}|{X} {w} {w} {w} {w}, {w} {w} edition|Mods moved the {w} poll {w} {w}|posted {date} {w} {w}|half of my {w} collection is {w} ({X} {w}, {w} casing)|see also {w} and {w}|Ein Freund will jeden {X} {w}|Im {Z} stehen noch drei {X}
-bump|same here|source?|top kek|thread {d8}|see {d9}|>>{d8}|>>>/{w}/{d8}|looking for the {X} {X} soundtrack|die Liste mit {X} und {X} ({X} {X}, Bauart {X})|El hilo del {w} se perdió|the {X} {X} edition|{X} {X} edition|wie {X} und {X} von {X}
-Gift ist im {X}, {X}|{w} ist im {X}, aber {w}|I ordered {w} from {G}, {w} {w}|a la gente de {G}, porque el {w}|no {w} without {X}, {w} it|{X}? Somebody in the {w}|{w} from {X}, {X} and {X}|{X}, {w} and {w} of {X}
-Part two below|shut up you {w}|jerk off to this and report back|{X} are less than {w}|dump the {w} here and report back|everyone knows {X} people {w}|the {w} of {X}, Vorsicht|{X} Road was closed|from {X} Street to the {w}
+{cx} {num}|{cx}: {num}|{cx} {no} {num}|{det} {cx} {w} {num}|{num} {unit}|{num} {unit} {in} {num} {unit}|{w} {num} {w}|{cx} {w} {num}|{w} {cx} {num} {w}|{X}-{d3}-{d4}|{cx} {X}-{d3}-{d4}|{num}|{w} {is} {num} {w}|{X} {d3} , {w}|{C} {num}
+{w}@{w}|@{w} {w}|{w}@{d1}x.png|{w}@{X} {w}|{cx} {d3} {in} {X} {st} {kind}|{in} {X} {st}|{X} {st} {w} {w}|{cx} {d2} {in} {det} {X} {st} {kind}|{w} {w} {X} {st}|{w}@{d1}x.jpg {is} {w}|{w} @ {w}
+{det} {X} {X} {kind}|{X} {X} {w} {det} {w}|{w} {by} {X}|{X} {by} {X}|{w} {by} {X} {w} {w}|{X} , {X} {and} {X}|{X} {and} {X} {w}|({X} {X} , {w} {w})|({X} {w} , {w} {w})|{kind} {X} {X} {X}|{w} {X} {kind}|{X} {X} {kind}|{det} {C} {w} {C}|{C} {w} {C} {X}|{det} {C} {by} {X}|{C} {C} {w}
+{G}|{G} {w} {w}|{w} {G}|{w} {by} {G}|{G} {and} {G}|{w} {G} , {w}|{by} {G} {w} {w}|{cn} {G} {w} {w}|{det} {G} {w}|{G} {is} {w}|{cn} {w} {w}|{cn} {det} {w}|{cn} {by} {X}|{cn} {by} {det} {X} {kind}|{G}? {w} {w}
+{w} {w} {w} {w} {w}|{C} {w} {w} {w} {w}|{w} {w} {X} {w} {w}|{w}, {w} {and} {w}|{C} {w} {w}! {C} {w}|{X} {w} {w} {w}|{w} {w}. {X} {w} {w}|{w} {w}? {C} {w}|{ca} {w} {w}|{ca} {in} {X}|{cp} {w} {w}|{ce} {w} {w}|{ci} {w} {w}|{cp} {G} {w}|{ca} {det} {w} {in} {X}
+>>{d8}|>>>/{w}/{d8}|>>{d9} {w} {w}|>>0{d11}|>>00{d6} {w}|>>000{d9} {w} {w}|{cx} >>{d8}|{w} >>{d8}|{w}{d2}|{w}_{w}|{w}.{w}|{w}/{w}|{w}.{w}/{w}|{w}.com|{date} {w}|{w} {date}|{cx} {time} {w}|{w}.jpg|{d4}x{d4} {w}|{d1}. {w} {w}|{X} {d2}|{d3}% {w}|{C} {C} {kind}|{X} {C}
 """.strip()
 
+#: Frames of authors' names, with and without personal data.
+AUTHORS = "{n}|{n}|{n}|{n}|{n}|{n}|{n}|{n}|{l}|{l}|{l}|{l}|{e}|{p}|{w} {p}|{n} {w}"
+HANDLES = "{X} {w}|{det} {w} {w}|{X}|{G}|{w}{d2}|{w}|{X} {d2}|{w} {w} {w}|{w} {X}|{C}|{C} {w}|{w}_{w}|{G}{d2}|{G} {d2}|{w} {w}|OP|{C}{C}|{det} {X}"
+
 _VOWELS = "a e i o u ae ei ou ai".split()
 _ONSET = "b br c ch cl d dr f fl g gr h j k kl l m n p pl qu r s sk st t tr v vr w z".split()
 _CODA = " ck d g l lm m n nd ng r rk s st t x zz rn".split(" ")
 _ENDS = "son man ley ford well burn dale field wood stad mann berg heim ski eau ault ez ini ello ova sen ton worth by croft".split()
-
-
-def _word(r: random.Random) -> str:
-    return "".join(r.choice(_ONSET) + r.choice(_VOWELS) + r.choice(_CODA) for _ in range(r.choice((1, 1, 2))))
-
-
-def _surname(r: random.Random) -> str:
-    return (_word(r) + r.choice(_ENDS)).capitalize()
-
-
-def _digits(r: random.Random, n: int) -> str:
-    return "".join(r.choice("0123456789") for _ in range(n))
-
-
-def _name(r: random.Random) -> str:
-    g = r.choice(GIVEN).capitalize() if r.random() < 0.75 else _word(r).capitalize()
-    s = _surname(r)
-    if r.random() < 0.1:
-        s += "-" + _surname(r)
-    n = r.choice([f"{g} {s}"] * 6 + [f"{g} {r.choice('ABCDEFGJKLMNPRST')}. {s}", f"{g[0]}. {s}", f"{g[0]}. {s}", f"{s}, {g}", f"{s}, {g}", f"Dr {g} {s}", f'{g} "{_word(r)}" {s}'])
-    return r.choice([n] * 4 + [n.upper(), n.lower()])
-
-
-def _email(r: random.Random) -> str:
-    g, s, d = r.choice(GIVEN), _surname(r).lower(), r.choice([_word(r), _word(r) + "-" + _word(r), _word(r) + "." + _word(r)])
-    user = r.choice([f"{g}.{s}", f"{g[0]}{s}", f"{s}{_digits(r, 2)}", f"{g}_{s[:4]}", f"{g}+{_word(r)}"])
-    host = d + "." + r.choice(["com", "org", "net", "example", "invalid", "test", "de", "co.uk"])
-    form = r.random()
-    if form < 0.45:
-        m = f"{user}@{host}"
-        return r.choice([m, m, m.upper(), user.upper() + "@" + host.title()])
-    if form < 0.6:
-        return f"{user}(at){host}"
-    if form < 0.7:
-        return f"{user}＠{host}"
-    if form < 0.85:
-        return f"{user} [at] " + host.replace(".", " [dot] ")
-    return f"{user} AT " + host.replace(".", " DOT ")
-
-
-def _phone(r: random.Random) -> str:
-    d = lambda n: _digits(r, n)
-    return r.choice([
-        f"+44 7700 9{d(2)} {d(3)}", f"07{d(3)} 9{d(5)}", f"({d(3)}) 555 {d(4)}", f"{d(3)}-555-{d(4)}", f"0{d(3)} {d(8)}", f"0049-{d(2)}-{d(8)}",
-        f"+49 (0){d(2)} {d(5)} {d(3)}", f"tel:+1{d(10)}", f"{d(3)} 555 zero {d(3)}", f"{d(3)}.555.{d(4)}", f"+34 {d(3)} {d(3)} {d(3)}", f"+1 ({d(3)}) 555-{d(4)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
-    ])
-
-
-def _id(r: random.Random) -> str:
-    d, c = (lambda n: _digits(r, n)), (lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTXYZ") for _ in range(n)))
-    return r.choice([
-        f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{c(2)} {d(2)} {d(2)} {d(2)} {c(1)}", f"{c(1)}-{d(7)}-{c(1)}", f"{d(8)}-{c(1)}", f"{d(8)}{c(1)}", f"{c(2)}{d(6)}{c(1)}", f"{c(1)}{d(8)}", f"{d(2)} {d(3)} {d(3)} {d(3)}",
-    ])
-
-
-def _address(r: random.Random) -> str:
-    n, w, t = str(r.randint(1, 250)) + r.choice(["", "", "", "b", "c"]), r.choice([_word(r), _word(r) + r.choice(["field", "wood", "moor", "marsh", "brook"])]).capitalize(), r.choice(STREET_EN)
-    town = r.choice(["", "", f", {_surname(r)}", f", Port {_surname(r)}", f", {_surname(r)} {r.choice('BWMK')}{r.choice('QXZ')}{_digits(r, 1)} {_digits(r, 1)}{r.choice('JZV')}{r.choice('TVX')}"])
-    a = r.choice([
-        f"{n} {w} {t}{town}", f"{n} {w} {t}{town}", f"{n} {w} {t}, Apt {r.randint(1, 60)}{town}", f"Flat {r.randint(1, 20)}, {n} {w} {t}{town}", f"{w} {t} {n}",
-        f"Calle {w} {n}, {r.randint(1, 8)}º{r.choice('AB')}", f"Calle del {w} {n}, {r.randint(1, 8)}º{r.choice('AB')}", f"Calle {w} {_word(r).capitalize()} {n}", f"{w}{r.choice(STREET_DE)} {n}", f"{n} rue {w}", f"{w}er Straße {n}", f"Via {w} {n}", f"Avenida {w} {n}",
-    ])
-    return r.choice([a, a, a, a.lower()])
-
-
-def _other(r: random.Random, slot: str) -> str:
-    if slot == "w":
-        return _word(r)
-    if slot == "X":
-        return _word(r).capitalize()
-    if slot == "Z":
-        return r.choice("Garten Keller Schuppen Lager Werkstatt Dachboden".split())
-    if slot == "G":
-        return r.choice(GIVEN).capitalize()
-    if slot == "isbn":
-        return f"978-0-{_digits(r, 3)}-{_digits(r, 4)}-{_digits(r, 1)}"
-    if slot == "date":
-        return f"20{_digits(r, 2)}-{r.randint(1, 12):02}-{r.randint(1, 28):02} {r.randint(0, 23):02}:{r.randint(0, 59):02}"
-    if slot == "time":
-        return f"{r.randint(0, 23):02}:{r.randint(0, 59):02}"
-    return r.choice("123456789") + _digits(r, int(slot[1:]) - 1)
-
-
-def _lower_name(r: random.Random) -> str:
-    return f"{r.choice(GIVEN)} {_surname(r).lower()}"
-
-
-VALUES = {"l": ("person_name", _lower_name), "e": ("email", _email), "p": ("phone", _phone), "i": ("id_number", _id), "a": ("address", _address), "n": ("person_name", _name)}
-
-
-def rows(each: int = 14, seed: int = 11) -> list[tuple[bool, str, list[tuple[int, int, str]]]]:
+#: Digits as words in English, German, Spanish and French.
+_SPOKEN = ("zero null cero oh", "one eins uno un", "two zwei dos deux", "three drei tres trois", "four vier cuatro quatre", "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")
+DIGIT_WORDS = frozenset(w for line in _SPOKEN for w in line.split())
+
+
+class Maker:
+    """Makes values and lines; ``words`` and ``names`` are lower-case and capitalised words of a public vocabulary, the commonest first."""
+
+    def __init__(self, seed: int, words: list[str], names: list[str]):
+        self.r, self.words, self.names = random.Random(seed), words, names
+
+    def syllables(self) -> str:
+        r = self.r
+        return "".join(r.choice(_ONSET) + r.choice(_VOWELS) + r.choice(_CODA) for _ in range(r.choice((1, 1, 2))))
+
+    def common(self, words: list[str]) -> str:
+        return words[int(len(words) * self.r.random() ** 3)] if words else self.syllables()
+
+    def word(self) -> str:
+        r = self.r.random()
+        if r < 0.04:  # contractions
+            return self.r.choice(["l'", "d'", "qu'", "jusqu'", "c'", "it'", "don'", "we'"]) + self.common(self.words)
+        if r < 0.06:
+            return self.r.choice(GIVEN_WORDS)
+        return self.common(self.words) if r < 0.6 else self.syllables()
+
+    def capital(self) -> str:
+        return self.common(self.names) if self.r.random() < 0.5 else self.syllables().capitalize()
+
+    def surname(self) -> str:
+        r = self.r.random()
+        if r < 0.25:
+            return self.common(self.names)
+        return (self.syllables() + (self.r.choice(_ENDS) if r < 0.7 else "")).capitalize()
+
+    def digits(self, n: int) -> str:
+        return "".join(self.r.choice("0123456789") for _ in range(n))
+
+    def given(self) -> str:
+        return self.r.choice(GIVEN).capitalize()
+
+    def letters(self, n: int) -> str:
+        return "".join(self.r.choice("ABCDEFGHJKLMNPQRSTXYZ") for _ in range(n))
+
+    def N(self) -> str:  # noqa: N802
+        return self.n(True)
+
+    def n(self, known: bool = False) -> str:
+        r = self.r
+        g = self.given() if known or r.random() < 0.5 else self.syllables().capitalize()
+        s = self.surname()
+        if r.random() < 0.12:
+            s += "-" + self.surname()
+        elif r.random() < 0.08:
+            s = r.choice(["van ", "von ", "de ", "Mc", "O'"]) + s
+        name = r.choice([f"{g} {s}"] * 7 + [f"{g} {self.letters(1)}. {s}", f"{self.letters(1)}. {s}", f"{self.letters(1)}. {s}", f"{s}, {self.given()}", f"{g} {self.given()} {s}", f"{r.choice(['Dr', 'Dr.', 'Prof.', 'Mr', 'Mrs', 'Ms', 'Herr', 'Frau'])} {g} {s}", f'{g} "{self.syllables()}" {s}', f"{g[0]}. {self.letters(1)}. {s}"])
+        return name.upper() if r.random() < 0.1 else name
+
+    def l(self) -> str:  # noqa: E743
+        s = self.surname().lower()
+        return f"{self.r.choice(GIVEN)} {s}" if self.r.random() < 0.9 else f"{self.letters(1).lower()}. {s}"
+
+    def e(self) -> str:
+        r = self.r
+        g, s, w = r.choice(GIVEN), self.surname().lower(), self.word
+        user = r.choice([f"{g}.{s}", f"{g[0]}{s}", f"{s}{self.digits(2)}", f"{g}_{s}", f"{g}+{w()}", w(), f"{w()}.{w()}", f"{w()}{self.digits(3)}", f"{g}-{s}"])
+        host = r.choice([w(), f"{w()}-{w()}", f"{w()}.{w()}"]) + "." + r.choice("com org net edu de co.uk es fr it info io eu example test invalid".split())
+        m, form = f"{user}@{host}", r.random()
+        if form < 0.5:
+            return r.choice([m, m, m, m.upper(), user.capitalize() + "@" + host, user.upper() + "@" + host.title()])
+        at, dot = r.choice([("(at)", "."), ("[at]", "."), ("＠", "."), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), (" AT ", " DOT "), (" at ", "."), ("{at}", "."), ("[at]", "[dot]"), (" @ ", ".")])
+        return user + at + host.replace(".", dot)
+
+    def p(self) -> str:
+        d, r = self.digits, self.r
+        s = r.choice("- . /".split() + [" ", " ", ""])
+        v = r.choice([
+            f"+{r.randint(1, 99)} {d(3)} {d(3)} {d(4)}", f"+{r.randint(1, 99)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+{r.randint(30, 49)} (0){d(2)} {d(4)} {d(3)}", f"+44 7{d(3)} {d(6)}", f"+44 7{d(3)} {d(3)} {d(3)}", f"07{d(3)} {d(6)}", f"07{d(3)} {d(6)}", f"07{d(3)} {d(3)} {d(3)}",
+            f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"00{r.randint(30, 49)}{s}{d(2)}{s}{d(8)}", f"0{d(3)}{s}{d(7)}",
+            f"0{d(3)} {d(8)}", f"0{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(4)}/{d(6)}", f"+{r.randint(30, 49)}{d(10)}", f"tel:+{d(11)}", f"({d(5)}) {d(6)}", f"(0{d(2)}) {d(4)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"+{r.randint(30, 49)}-{d(3)}-{d(7)}", f"+{r.randint(30, 49)} {d(3)} {d(3)} {d(3)}",
+        ])
+        if r.random() < 0.15 and " " in v:  # some digits of a group spoken
+            parts = v.split(" ")
+            k, n = r.randrange(len(parts)), r.randint(1, 3)
+            spoken = [r.choice(_SPOKEN[int(c)].split()) for c in parts[k][:n] if c.isdigit()]
+            v = " ".join([*parts[:k], *spoken, parts[k][n:], *parts[k + 1 :]])
+        return " ".join(v.split())
+
+    def I(self) -> str:  # noqa: E743  (forms that need no announcement)
+        d, c = self.digits, self.letters
+        return self.r.choice([f"{d(3)}-{d(2)}-{d(4)}", f"{c(2)} {d(2)} {d(2)} {d(2)} {c(1)}", f"{d(8)}-{c(1)}", f"{d(8)}{c(1)}", f"{c(1)}-{d(7)}-{c(1)}", f"{c(1)}{d(7)}{c(1)}", f"{c(2)}{d(6)}{c(1)}"])
+
+    def i(self) -> str:
+        d, c = self.digits, self.letters
+        return self.I() if self.r.random() < 0.6 else self.r.choice([*[f"{d(3)} {d(2)} {d(4)}"] * 3, f"{d(9)}", f"{c(1)}{d(8)}", f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(11)}", f"{c(2)}{d(7)}", f"{d(6)}-{d(4)}", f"{d(3)}.{d(3)}.{d(3)}-{d(2)}", f"{c(3)}{d(6)}", f"{c(1)}{d(2)}{c(2)}{d(4)}"])
+
+    def a(self) -> str:
+        r, w = self.r, lambda: self.capital()
+        n = str(r.randint(1, 999 if r.random() < 0.2 else 250)) + r.choice(["", "", "", "", "a", "b", "c"])
+        name, t = r.choice([w(), w(), self.syllables().capitalize() + r.choice("field wood moor marsh brook ton".split()), f"{w()} {w()}"]), r.choice(STREET_EN)
+        place, d, c = self.surname, self.digits, self.letters
+        town = r.choice(["", "", "", f", {place()}", f", {place()} {w()}", f", {place()} {c(2)}{d(1)} {d(1)}{c(2)}", f", {c(2)}{d(2)} {d(1)}{c(2)}", f", {place()}, {c(2)} {d(5)}"])
+        mainland = r.choice(["", "", f", {d(5)} {place()}", f" in {place()}"])
+        v = r.choice([
+            f"{n} {name} {t}{town}", f"{n} {name} {t}{town}", f"{n} {name} {t}{town}", f"{n} {name} {t}, {r.choice(['Apt', 'Unit', 'Flat', 'Suite'])} {r.randint(1, 60)}{town}", f"{r.choice(['Flat', 'Apartment', 'Unit'])} {r.randint(1, 40)}, {n} {name} {t}{town}",
+            f"{self.syllables().capitalize()}{r.choice(STREET_DE)} {n}{mainland}", f"{name} {r.choice(['Straße', 'Allee', 'Weg', 'Platz'])} {n}{mainland}", f"{self.syllables().capitalize()}{r.choice(STREET_DE)} {n}{mainland}", f"{r.choice(['Am', 'An der', 'Zum', 'Im'])} {self.syllables().capitalize()}{r.choice(STREET_DE)} {n}",
+            f"{r.choice(STREET_ROMANCE)} {name} {n}{mainland}", f"{r.choice(STREET_ROMANCE)} {r.choice(['de', 'del', 'de la', 'da', 'di'])} {name} {n}, {r.randint(1, 8)}º{r.choice('ABCD')}", f"{r.choice(STREET_ROMANCE)} {name} {n}, {r.randint(1, 8)}º{r.choice('ABCD')}", f"{n} {r.choice(['rue', 'avenue', 'place', 'bd'])} {r.choice(['', 'de ', 'du ', 'des '])}{name}{mainland}", f"{self.syllables().capitalize()}{r.choice(['straat', 'laan', 'weg', 'gatan', 'vej'])} {n}{mainland}",
+        ])
+        return r.choice([v, v, v, v, v.lower()])
+
+    def num(self) -> str:
+        r, d, c = self.r, self.digits, self.letters
+        return r.choice([
+            d(1), d(2), d(3), d(4), d(5), d(6), d(7), d(8), d(9), d(10), d(11), d(12), d(14), f"{d(2)}.{d(2)}", f"{d(1)}.{d(1)}.{d(2)}", f"{d(2)}.{d(2)}.{d(4)}", f"{d(3)}.{d(3)}.{d(1)}.{d(2)}", f"97{r.choice('89')}-{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"{d(3)}-{d(2)}-{d(1)}", f"{d(3)}-{d(4)}",
+            f"{d(1)},{d(3)}", f"${d(2)}.{d(2)}", f"{c(2)}{d(4)}", f"{c(3)}-{d(4)}", f"{c(1)}{d(2)}", f"v{d(1)}.{d(1)}", f"{d(4)}x{d(4)}", f"0x{d(4)}", f"{d(3)} {d(3)} {d(3)}", f"{c(2)}-{d(3)}-{d(4)}", self.date(), self.time(), f"#{d(4)}", f"{d(3)}-{c(2)}-{d(3)}", f"1{d(9)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}",
+        ])
+
+    def date(self) -> str:
+        r = self.r
+        return r.choice([f"20{self.digits(2)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{self.digits(2)}", f"{r.randint(1, 12):02}/{r.randint(1, 28):02}/{self.digits(2)}"]) + r.choice(["", " " + self.time()])
+
+    def time(self) -> str:
+        return f"{self.r.randint(0, 23):02}:{self.r.randint(0, 59):02}"
+
+    def value(self, slot: str) -> str:
+        r = self.r
+        if slot in PRIVATE or slot in ("num", "date", "time"):
+            return getattr(self, slot)()
+        if slot in _CUE_SLOTS:
+            v = r.choice(CUES[_CUE_SLOTS[slot]])
+            return r.choice([v, v, v, v.capitalize(), v.upper() if len(v) < 5 else v])
+        if slot in LINKS:
+            return r.choice(LINKS[slot])
+        if slot[0] == "d" and slot[1:].isdigit():
+            return r.choice("123456789") + self.digits(int(slot[1:]) - 1)
+        if slot == "st":
+            return r.choice(STREET_EN)
+        if slot == "and":
+            return r.choice(["and", "und", "y", "et", "or", "&"])
+        return {"w": self.word, "X": lambda: self.syllables().capitalize(), "C": self.capital, "G": self.given}[slot]()
+
+
+PRIVATE = {"N": "person_name", "e": "email", "p": "phone", "i": "id_number", "I": "id_number", "a": "address", "n": "person_name", "l": "person_name"}
+_CUE_SLOTS = {"ce": "email", "cp": "phone", "ci": "id_number", "ca": "address", "cn": "person_name", "cx": "other"}
+
+
+def rows(words: list[str], names: list[str], each: int = 20, seed: int = 11) -> list[tuple[bool, str, list[tuple[int, int, str]]]]:
     """(whether it is an author's name, text, spans with their types)."""
-    r = random.Random(seed)
+    m = Maker(seed, words, names)
+    r = m.r
     out: list[tuple[bool, str, list[tuple[int, int, str]]]] = []
 
-    def make(pattern: str, private: bool, author: bool = False) -> None:
+    def make(frame: str, author: bool = False) -> None:
         text, spans = "", []
-        for part in re.split(r"(\{\w+\})", pattern):
-            if part[:1] == "{" and part[1:-1] in VALUES:
-                kind, value = VALUES[part[1:-1]]
-                v = value(r)
-                if private:
-                    spans.append((len(text), len(text) + len(v), kind))
-                text += v
-            else:
-                text += _other(r, part[1:-1]) if part[:1] == "{" else part
-        text2 = text.replace(" ,", ",")  # a pattern's blank before a comma is no blank
-        while " ," in text:
-            k = text.index(" ,")
-            text = text[:k] + text[k + 1 :]
-            spans = [(a - (a > k), b - (b > k), t) for a, b, t in spans]
-        assert text == text2
+        if not author and r.random() < 0.4:
+            text = " ".join(m.capital() if r.random() < 0.15 else m.word() for _ in range(r.randint(1, 5))) + r.choice([" ", " ", ". ", "! ", ": ", ", ", "; ", " - "])
+        if not author and r.random() < 0.4:
+            frame += r.choice([" ", " ", ". ", ", ", "! ", " and ", "? "]) + " ".join(["{w}"] * r.randint(1, 4)) + r.choice(["", ".", "!", "?"])
+        elif r.random() < 0.2:
+            frame += r.choice([".", "!", ",", ";"])
+        for part in re.split(r"(\{\w+\})", frame.replace("} ,", "},")):
+            if part[:1] != "{":
+                text += part
+                continue
+            v = m.value(part[1:-1])
+            if part[1:-1] in PRIVATE:
+                spans.append((len(text), len(text) + len(v), PRIVATE[part[1:-1]]))
+            text += v
+        if r.random() < 0.06:
+            t = text.upper() if r.random() < 0.5 else text.lower()
+            text = t if len(t) == len(text) else text
+        elif r.random() < 0.3:
+            text = text[:1].upper() + text[1:]
         out.append((author, text, spans))
 
-    for line in PATTERNS.replace("\n", "|").split("|"):
-        for k in range(each):
-            lead = "" if k % 3 else " ".join(_word(r) for _ in range(r.randint(1, 5))) + r.choice([" ", ". ", "! "])
-            make(lead + line, True)
-    for line in NEITHER.replace("\n", "|").split("|"):
-        for k in range(each):
-            make(line if k % 3 else line + " " + " ".join(_word(r) for _ in range(r.randint(1, 4))), False)
-            if k % 4 == 0:  # the same in capitals, or in lower case
-                a, t, sp = out.pop()
-                out.append((a, r.choice([t.upper(), t.upper(), t.lower()]), sp))
-    for line, private in (*(("{n}", True),) * 6, *(("{l}", True),) * 4, ("{e}", True), ("{p}", True), ("anon {p}", True), ("{X} user", False), ("the {w} guy", False), ("{X}", False), ("{G}", False), ("{w}{d2}", False), ("Anonymous", False), ("anon", False), ("{w}", False), ("OP", False), ("mod", False), ("lurker", False), ("sage", False), ("{X} {d2}", False), ("{w} {w} fan", False), ("not {X}", False)):
-        for _ in range(each * 2):
-            make(line, private, True)
+    for frames in (FRAMES, NEITHER):
+        for frame in frames.replace("\n", "|").split("|"):
+            for _ in range(each):
+                make(frame)
+    for _ in range(each * 90):  # capitals and signs anywhere, as in languages that write nouns with a capital
+        dense = r.choice((0.1, 0.3, 0.5, 0.7))
+        parts = [r.choice(["{X}", "{X}", "{C}"]) if r.random() < dense else "{w}" for _ in range(r.randint(2, 8))]
+        for k in range(len(parts)):
+            if r.random() < 0.2:
+                parts[k] += r.choice([",", ",", ".", ".", ".", "!", ":", ";", " und", " and", " de"])
+            elif r.random() < 0.1 and k + 2 < len(parts):
+                parts[k], parts[k + 2] = "(" + parts[k], parts[k + 2] + ")"
+        make(" ".join(parts))
+    for frame in (AUTHORS + "|" + HANDLES).split("|"):
+        for _ in range(2 * each):
+            make(frame, True)
     return out

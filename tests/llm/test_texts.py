@@ -140,13 +140,69 @@ def test_paragraphs_after_wide_stops():
     assert all(text[(at := text.index(piece) + len(piece)) : at + 2] == "\n\n" for piece, _ in out[:-1])
 
 
-def test_held_out_personal_data():
+# Sentences of everyday use, written for this test; the labelled table has neither their forms nor most of their words.
+UNSEEN = [
+    ("Drop Hannah a line via hannah.brecht@posteo.example before Friday.", {"email"}),
+    ("Questions go straight to the treasurer, r.okafor@club-ledger.test, never to me.", {"email"}),
+    ("Invoices? kasse42 (at) turnverein (dot) example works best", {"email"}),
+    ("El tesorero contesta en pablo_ruiz@coro.example casi siempre", {"email"}),
+    ("If the gate is locked, try my landline, 0161 496 0123, twice.", {"phone"}),
+    ("Nach Feierabend erreicht ihr mich unter +49 171 5550199", {"phone"}),
+    ("Marta picks up on (206) 442-0187 most mornings", {"phone"}),
+    ("pour le chien perdu: 06 12 34 56 78 merci", {"phone"}),
+    ("the clerk wrote down 078-05-1120, which is the social security number on my card", {"id_number"}),
+    ("mi dni, 12345678Z, salió en la foto", {"id_number"}),
+    ("they asked for the national insurance number QQ 12 34 56 C again", {"id_number"}),
+    ("passport 925076473 expired in March", {"id_number"}),
+    ("We finally moved into 48 Larchmont Avenue, Leeds LS8 2BQ last week", {"address"}),
+    ("Das Paket liegt in der Goethestraße 17, 60313 Frankfurt", {"address"}),
+    ("mándalo a la Calle Mayor 12, 3ºB por favor", {"address"}),
+    ("the garage sale is at 9 Primrose Close all weekend", {"address"}),
+    ("I bought the lathe off Andrew Pemberton years ago", {"person_name"}),
+    ("Sincerely, Katarzyna Wolska", {"person_name"}),
+    ("Our landlord, J. Whitcombe, never fixes the boiler", {"person_name"}),
+    ("Ich heiße Matthias Brandt und repariere Radios", {"person_name"}),
+    ("the teacher is called Priya Raman, she is lovely", {"person_name"}),
+    ("Robert Lindgren still owes me for the tickets", {"person_name"}),
+    ("Ring David Ashworth on 07700 900461 about the piano", {"person_name", "phone"}),
+    ("Laura Benedetti, 27 Harbour Road, wants the sofa", {"person_name", "address"}),
+    ("The invoice number is 20391184 and the total was 49.90", set()),
+    ("I flashed build 4.19.3021 and it bricked at 03:14", set()),
+    ("ISBN 978-3-16-148410-0 is the second printing", set()),
+    ("Track 7 of the Grey Harbour soundtrack is the best one", set()),
+    ("Thanks Oliver, that fixed the pump", set()),
+    ("The Old Mill Road stop is closed until May", set()),
+    ("Am Samstag verkauft der Verein wieder Kuchen und Kaffee", set()),
+    ("ping @stormbird, the sprites@2x.png sheet is broken", set()),
+    ("see >>48210933 and >>48210940 for the sources", set()),
+    ("order 77310-B ships from Rotterdam on 2024-03-18", set()),
+    ("La Guerra de los Mundos es mejor que la película", set()),
+    ("error 0x80070057 after 512 retries, 16 GB of memory left", set()),
+]
+
+
+def test_forms_of_sentences_that_the_table_lacks():
+    found = pii.spans_of(pii.fit(), [t for t, _ in UNSEEN], False)
+    got = [(t, want, {x[2] for x in f}) for (t, want), f in zip(UNSEEN, found)]
+    both, true, all_ = (sum(map(len, v)) for v in ([w & g for _, w, g in got], [w for _, w, g in got], [g for _, w, g in got]))
+    assert both >= 0.85 * true and both >= 0.85 * all_, [x for x in got if x[1] != x[2]]
+
+
+def test_frames_have_no_run_of_words():
+    import re
+
+    frames = "|".join((pii_examples.FRAMES, pii_examples.NEITHER, pii_examples.AUTHORS, pii_examples.HANDLES)).replace("\n", "|").split("|")
+    assert all(len(part.split()) < 3 for f in frames for part in re.split(r"\{\w+\}", f))
+
+
+def test_fresh_rows_of_the_table():
     field, right, n = pii.fit(), 0, 0
+    words, names = pii.vocabulary(str(pii.vocabulary_path()))
     for author in (False, True):
-        rows = [(t, s) for a, t, s in pii_examples.rows(each=3, seed=77) if a == author]
+        rows = [(t, s) for a, t, s in pii_examples.rows(words[: pii.FILLER], names[: pii.FILLER], each=3, seed=77) if a == author]
         for (_, s), f in zip(rows, pii.spans_of(field, [t for t, _ in rows], author)):
             right, n = right + ({x[2] for x in s} == {x[2] for x in f}), n + 1
-    assert right >= 0.97 * n
+    assert right >= 0.95 * n
 
 
 def test_redaction(spark):
