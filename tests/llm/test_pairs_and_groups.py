@@ -191,3 +191,49 @@ def test_hot_vector(spark):
     for r in neighbours.nearest(spark, df).collect():
         got.setdefault(r["post_id"], set()).add(r["neighbour"])
     assert got[0] == {3, 6, 9, 12, 15} and got[3] == {0, 6, 9, 12, 15} and got[297] == {0, 3, 6, 9, 12}
+
+
+@pytest.mark.parametrize("n, block", [(40, 1 << 15), (700, 64)])
+def test_rounds_retrieve_each_code_within_reach_once(n, block, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "KEPT", 10_000)
+    rng = np.random.default_rng(n)
+    words = rng.integers(-(1 << 63), 1 << 63, (n, 2), dtype=np.int64)
+    words[n // 2 :] = words[: n - n // 2] ^ (1 << rng.integers(0, 62, (n - n // 2, 2))) ^ (1 << rng.integers(0, 62, (n - n // 2, 2)))
+    shape, ids = neighbours.Shape(n), np.arange(n)
+    assert (shape.high > 0) == (block == 64)
+    bits = neighbours._bits(words[:, 0].copy(), words[:, 1].copy())
+    apart = (bits[:, None, :] != bits[None]).sum(2)
+    flips_of = np.stack([(bits[:, None, a:b] != bits[None, :, a:b]).sum(2) for a, b in zip(shape.edges, shape.edges[1:])])
+    met: list = []
+    for flips in (1, 2):
+        for j in range(shape.m):
+            prefix = shape.substring(bits, j) >> shape.low(j)
+            for p in np.unique(prefix):
+                held = prefix == p
+                b = neighbours._Block(int(p) | j << 32, shape, ids[held], words[held, 0], words[held, 1])
+                for used in range(min(flips, shape.high) + 1):
+                    asks = np.bitwise_count(prefix ^ p) == used
+                    q, c, d = b.ask(ids[asks], words[asks, 0].copy(), words[asks, 1].copy(), used, flips)
+                    assert (d == apart[q, c]).all()
+                    met += zip(q.tolist(), c.tolist())
+        want = {(i, k) for i, k in np.argwhere(flips_of.min(0) <= flips).tolist() if i != k}
+        assert len(met) == len(set(met)) and set(met) == want
+        near = apart <= shape.reach(flips)
+        assert all((i, k) in want for i, k in np.argwhere(near).tolist() if i != k)
+
+
+def test_hot_cluster_is_split(spark, monkeypatch):
+    """A third of all rows are much alike, and no block may hold them."""
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    monkeypatch.setattr(neighbours, "VECTORS", 64)
+    rng = np.random.default_rng(5)
+    heart = rng.normal(size=384)
+    ways = rng.normal(size=(6, 384))
+    rows = [(i, [float(x) for x in (heart + 0.4 * rng.normal(size=6) @ ways if i % 3 == 0 else rng.normal(size=384)).astype(np.float32)], "m") for i in range(400)]
+    df = spark.createDataFrame(rows, "post_id long, embedding array<float>, model_version string")
+    got: dict = {}
+    for r in neighbours.nearest(spark, df).collect():
+        got.setdefault(r["post_id"], set()).add(r["neighbour"])
+    want = exact_nearest([(i, v, m) for i, v, m in rows if i % 3 == 0], 5)
+    assert sum(len(got[i] & set(w)) for i, w in want.items()) >= 0.9 * sum(map(len, want.values()))
