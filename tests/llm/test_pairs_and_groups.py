@@ -217,10 +217,9 @@ def test_rounds_retrieve_each_code_within_reach_once(n, block, monkeypatch):
                     q, c, d = b.ask(ids[asks], words[asks, 0].copy(), words[asks, 1].copy(), used, flips)
                     assert (d == apart[q, c]).all()
                     met += zip(q.tolist(), c.tolist())
-        want = {(i, k) for i, k in np.argwhere(flips_of.min(0) <= flips).tolist() if i != k}
+        assert (flips_of.min(0) <= flips)[apart <= shape.reach(flips)].all()
+        want = {(i, k) for i, k in np.argwhere(apart <= shape.reach(flips)).tolist() if i != k}
         assert len(met) == len(set(met)) and set(met) == want
-        near = apart <= shape.reach(flips)
-        assert all((i, k) in want for i, k in np.argwhere(near).tolist() if i != k)
 
 
 def test_hot_cluster_is_split(spark, monkeypatch):
