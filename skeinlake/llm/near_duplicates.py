@@ -4,7 +4,9 @@ Each text is its set of distinct words. Of the minima of HASHES hash functions,
 candidates meet, and the low BITS bits of each are packed into a signature of longs. A candidate's similarity is estimated
 from the equal positions of two signatures, counted by bit operations and corrected for chance collisions; what could reach
 the threshold is checked exactly on the words. Texts of one word set are one member of a band, with a list of who has it,
-and each task passes on the bands of a set once, so copies are not compared with each other, however many there are.
+and each task passes on the bands of a set once, so copies are not compared with each other, however many there are. A band
+that more than HOT word sets share is divided into parts; each two parts meet in a task of their own, which compares their
+signatures as blocks and passes on only pairs that could reach the threshold.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ MEMO = 1_000_000
 SLACK = 4.0
 #: Texts that are hashed at a time.
 CHUNK = 2000
+#: Word sets of a band that are joined as they are, and of a part of a larger one.
+HOT = 1024
 
 _TAG = re.compile(r"<[^>]*>")
 _QUOTE = re.compile(r">>>/\w+/\d*|>>\d+")
@@ -102,6 +106,8 @@ def _hashed(texts: DataFrame, key: str, text: str, least: int) -> DataFrame:
                 sets = [sets[i] for i in keep]
                 ident, bands, sig = signatures(sets)
                 new = []
+                if len(seen) > MEMO:
+                    seen.clear()
                 for h in ident.tolist():
                     new.append(h not in seen)
                     seen.add(h)
@@ -134,24 +140,84 @@ def _estimate(a: Column, b: Column) -> Column:
     return (same / HASHES - chance) / (1 - chance)
 
 
+def _hot_pairs(rows: DataFrame, threshold: float, enough: float) -> DataFrame:
+    """ia, ib: pairs of word sets of the same band that could reach the threshold; ``rows``: k, parts, h, id, n, sig."""
+    own = F.pmod(F.xxhash64("h"), F.col("parts").cast("long")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    grid = rows.withColumn("own", own).select("k", "own", other.alias("other"), "id", "n", "sig")
+    grid = grid.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "id", "n", "sig")
+
+    def compare(k: tuple, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        right, ids, n, sig = (np.concatenate(x) for x in zip(*held))
+        left = ~right if k[1] != k[2] else np.ones(len(ids), dtype=bool)
+        other = right if k[1] != k[2] else left
+        a, b = np.flatnonzero(left), np.flatnonzero(other)
+        ones = np.uint64(int("01" * 32, 2))
+        for at in range(0, len(a), 64):
+            p = a[at : at + 64]
+            differ = np.zeros((len(p), len(b)), dtype=np.int32)
+            for w in range(sig.shape[1]):
+                x = sig[p, w][:, None] ^ sig[b, w][None, :]
+                if BITS == 2:
+                    x = (x | (x >> np.uint64(1))) & ones
+                differ += np.bitwise_count(x)
+            same = 1 - differ / HASHES
+            chance = 2.0**-BITS
+            small, large = np.minimum(n[p][:, None], n[b]), np.maximum(n[p][:, None], n[b])
+            keep = ((same - chance) / (1 - chance) >= enough) & (small >= large * threshold - 1e-9)
+            if k[1] == k[2]:
+                keep &= ids[p][:, None] < ids[b][None, :]
+            r, c = np.nonzero(keep)
+            if len(r):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[p[r]]), pa.array(ids[b[c]])], names=["ia", "ib"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, i, j, ids, n = (batch.column(c).to_numpy() for c in (0, 1, 2, 4, 5))
+            right = batch.column(3).to_numpy(zero_copy_only=False)
+            sig = batch.column(6).flatten().to_numpy().reshape(len(k), -1).view(np.uint64)
+            cuts = (np.flatnonzero((np.diff(k) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist()
+            for s, e in zip([0, *cuts], [*cuts, len(k)]):
+                if (k[s], i[s], j[s]) != now:
+                    if held:
+                        yield from compare(now, held)
+                    now, held = (k[s], i[s], j[s]), []
+                held.append((right[s:e], ids[s:e], n[s:e], sig[s:e]))
+        if held:
+            yield from compare(now, held)
+
+    met = grid.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "ia long, ib long")
+    return met.select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).distinct()
+
+
 def links(spark: SparkSession, texts: DataFrame, key: str, text: str, threshold: float, least: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of representatives of differing word sets whose similarity reaches the threshold; and id, rep of all."""
     stage = Stage(spark, "minhash")
     hashed = stage.cut(_hashed(texts, key, text, least))
     firsts = hashed.groupBy("h").agg(F.min("id").alias("rep"))
     members = hashed.select("id", "h").distinct().join(firsts, "h").select("id", "rep")
-    bands = hashed.where(F.size("bands") > 0).select("h", F.posexplode("bands").alias("band", "v"))
+    sets = stage.cut(hashed.groupBy("h").agg(F.min(F.struct("id", "n", "sig")).alias("s"), F.max("bands").alias("bands")).select("h", "s.*", "bands"))
+    bands = sets.select("h", F.posexplode("bands").alias("band", "v"))
     keyed = bands.select((F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("k"), "h")
-    met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.h") < F.col("y.h")))
+    hot = stage.cut(keyed.groupBy("k").count().where(F.col("count") > HOT).select("k", F.ceil(F.col("count") / HOT).cast("int").alias("parts")))
+    cold = keyed.join(hot, "k", "left_anti")
+    met = cold.alias("x").join(cold.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.h") < F.col("y.h")))
     met = met.select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).distinct()
-    sigs = hashed.groupBy("h").agg(F.min(F.struct("id", "n", "sig")).alias("s"))
+    sigs = sets.select("h", F.struct("id", "n", "sig").alias("s"))
     chance = threshold + (1 - threshold) * 2.0**-BITS
     error = math.sqrt(chance * (1 - chance) / HASHES) / (1 - 2.0**-BITS)
+    enough = threshold - SLACK * error
     one = met.join(sigs.select(F.col("h").alias("ha"), F.col("s").alias("sa")), "ha")
     two = one.join(sigs.select(F.col("h").alias("hb"), F.col("s").alias("sb")), "hb")
     small, large = F.least("sa.n", "sb.n"), F.greatest("sa.n", "sb.n")
-    likely = two.where((small >= large * threshold - 1e-9) & (_estimate(F.col("sa.sig"), F.col("sb.sig")) >= threshold - SLACK * error))
-    likely = stage.cut(likely.select(F.col("sa.id").alias("ia"), F.col("sb.id").alias("ib")))
+    likely = two.where((small >= large * threshold - 1e-9) & (_estimate(F.col("sa.sig"), F.col("sb.sig")) >= enough))
+    likely = likely.select(F.least("sa.id", "sb.id").alias("ia"), F.greatest("sa.id", "sb.id").alias("ib"))
+    if not hot.isEmpty():
+        likely = likely.unionByName(_hot_pairs(keyed.join(hot, "k").join(sets.select("h", "id", "n", "sig"), "h"), threshold, enough)).distinct()
+    likely = stage.cut(likely)
     # the words of the texts that are left, as hashes of 64 bits
     asked = likely.select(F.explode(F.array("ia", "ib")).alias("id")).distinct()
     again = texts.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(asked, "id", "left_semi")

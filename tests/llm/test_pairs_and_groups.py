@@ -156,6 +156,19 @@ def test_neighbours_on_the_smallest_table(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_hot_bands_lose_no_link(spark, monkeypatch):
+    """A template with small edits: many differing word sets share bands, which are split."""
+    rng = random.Random(9)
+    base = [f"word{i}" for i in range(40)]
+    texts = [(i, " ".join(w if rng.random() > 0.04 else f"x{rng.randrange(999)}" for w in base)) for i in range(120)]
+    texts += [(200 + i, " ".join(f"y{rng.randrange(9999)}" for _ in range(40))) for i in range(20)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    whole = {tuple(r) for r in near_duplicates.pairs(spark, df, "id", "text").collect()}
+    monkeypatch.setattr(near_duplicates, "HOT", 8)
+    split = {tuple(r) for r in near_duplicates.pairs(spark, df, "id", "text").collect()}
+    assert split == whole and len(whole) > 1000
+
+
 def exact_nearest(rows, k):
     out = {}
     for p, v, m in rows:
