@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..staging import Stage
 from .components import components
 
-HASHES, ROWS, BITS = 256, 8, 2
+HASHES, ROWS, BITS = 256, 7, 2
 #: Words whose hash a worker remembers.
 MEMO = 1_000_000
 #: Standard deviations by which an estimate may miss the threshold and still be checked.
@@ -84,7 +84,7 @@ def signatures(sets: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     # the low bits of a product hardly mix, so minima are mixed once more before their bits are used
     low = (low ^ (low >> np.uint32(16))) * np.uint32(0x45D9F3B)
     low ^= low >> np.uint32(15)
-    rows = low.reshape(HASHES // ROWS, ROWS, len(sets)).astype(np.uint64)
+    rows = low[: HASHES // ROWS * ROWS].reshape(HASHES // ROWS, ROWS, len(sets)).astype(np.uint64)
     bands = (((rows * _MIX[None, :, None]).sum(1)) >> np.uint64(32)).astype(np.uint32).T
     kept = (low & np.uint32((1 << BITS) - 1)).astype(np.uint64).T.reshape(len(sets), -1, 64 // BITS)
     packed = (kept << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64)

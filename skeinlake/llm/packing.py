@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..staging import Stage
 
-#: Tasks that rank the items of one size, and rows of the histogram for each size.
-SALTS = 64
+#: Items that one task ranks, about; and tasks at most for a size, which bounds the histogram's rows for each size.
+PER_TASK, SALTS = 200_000, 512
 #: Sizes that patterns combine with each largest item, as quantiles of the items, and how often one may recur.
 QUANTILES, REPEATS = 24, 6
 ROUNDS = 200
@@ -119,9 +119,10 @@ def pack(spark: SparkSession, sized: DataFrame, capacity: int, key: str = "doc_i
     items = parts.select(
         key, "part", (F.col("part") * F.lit(capacity).cast("long")).alias("first_token"),
         F.least(F.col("_n") - F.col("part") * F.lit(capacity).cast("long"), F.lit(capacity)).alias("n_tokens"),
-        F.pmod(F.xxhash64(key, "part"), F.lit(salts)).cast("int").alias("_salt"),
     )
     items = stage.cut(items)
+    salts = int(min(salts, 1 + items.count() // PER_TASK))
+    items = items.withColumn("_salt", F.pmod(F.xxhash64(key, "part"), F.lit(salts)).cast("int"))
     counts = items.groupBy("n_tokens", "_salt").count().toPandas()  # at most (capacity + 1) * salts rows
     table = np.zeros((capacity + 1, salts), dtype=np.int64)
     table[counts["n_tokens"], counts["_salt"]] = counts["count"]

@@ -21,8 +21,10 @@ from .components import components
 
 SPLITS = ("train", "validation", "test")
 SHARES = (0.8, 0.1, 0.1)
-#: Tasks that rank the groups of one size.
-SALTS = 16
+#: Groups of one size that a task ranks, about; and tasks at most for a size, which bounds the histogram.
+PER_TASK, SALTS = 200_000, 1024
+#: Threads of a group that one task pairs with as many others.
+PART = 2000
 
 
 def thread_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +75,12 @@ def assign(sizes: np.ndarray, counts: np.ndarray, shares: tuple[float, ...]) ->
 def group_splits(spark: SparkSession, groups: DataFrame, splits: tuple[str, ...] = SPLITS, shares: tuple[float, ...] = SHARES) -> DataFrame:
     """group, size, split of every row of ``groups`` (group, size). A null size is 0; without rows there are none."""
     stage = Stage(spark, "splits")
-    items = stage.cut(groups.select("group", F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.pmod(F.xxhash64("group"), F.lit(SALTS)).cast("int").alias("_salt")))
-    rows = items.groupBy("size", "_salt").count().toPandas()  # at most sqrt(2 posts) sizes
+    items = stage.cut(groups.select("group", F.coalesce("size", F.lit(0)).cast("long").alias("size")))
+    salts = int(min(SALTS, 1 + items.count() // PER_TASK))
+    items = items.withColumn("_salt", F.pmod(F.xxhash64("group"), F.lit(salts)).cast("int"))
+    rows = items.groupBy("size", "_salt").count().toPandas()  # at most sqrt(2 posts) sizes; the rare ones have few salts
     sizes, at = np.unique(rows["size"].to_numpy(dtype=np.int64), return_inverse=True)
-    table = np.zeros((len(sizes), SALTS), dtype=np.int64)
+    table = np.zeros((len(sizes), salts), dtype=np.int64)
     table[at, rows["_salt"].to_numpy(dtype=np.int64)] = rows["count"]
     offsets = np.cumsum(table, axis=1) - table
     ends = np.cumsum(assign(sizes[::-1], table.sum(1)[::-1], shares)[::-1] or np.zeros((0, len(splits))), axis=1)
@@ -117,6 +121,11 @@ def related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """thread_a, thread_b: every pair of threads that must share a split."""
     stage = Stage(spark, "pairs")
     found = stage.cut(components(spark, thread_links(spark, sf_dir)))
-    a = found.select("root", F.col("node").alias("thread_a"))
-    b = found.select("root", F.col("node").alias("thread_b"))
-    return a.join(b, "root").where("thread_a < thread_b").select("thread_a", "thread_b")
+    # a large group is divided into parts; each two parts meet under a key of their own
+    parts = found.groupBy("root").count().where(F.col("count") > PART).select("root", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    placed = found.join(parts, "root", "left").select("root", "node", F.coalesce("parts", F.lit(1)).alias("parts"))
+    placed = stage.cut(placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    a = placed.select("root", "own", other, F.col("node").alias("thread_a"))
+    b = placed.select("root", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"), F.col("node").alias("thread_b"))
+    return a.join(b, ["root", "own", "other"]).where("thread_a < thread_b").select("thread_a", "thread_b")
