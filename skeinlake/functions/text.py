@@ -123,14 +123,17 @@ def levenshtein_bytes(a: Column, b: Column) -> Column:
 
 
 def title_similarity(a: Column, b: Column) -> Column:
-    """0 for a blank title, 1 for equal ones, the ratio of lengths for a prefix, else one less the relative edit distance."""
+    """0 for a blank title, 1 for equal ones, the ratio of lengths for a prefix, else one less the relative edit distance.
+
+    Lengths and distances are of UTF-8 bytes.
+    """
     x, y = (F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", "") for c in (a, b))
-    short, long_ = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+    short, long_ = F.least(F.octet_length(x), F.octet_length(y)), F.greatest(F.octet_length(x), F.octet_length(y))
     return (
         F.when(a.isNull() | b.isNull() | (x == "") | (y == ""), 0.0)
         .when(x == y, 1.0)
         .when(x.startswith(y) | y.startswith(x), short / long_)
-        .otherwise(1 - F.levenshtein(x, y) / long_)
+        .otherwise(1 - levenshtein_bytes(x, y) / long_)
     )
 
 

@@ -16,8 +16,7 @@ def crosspost_cycle(spark: SparkSession, uses: DataFrame, codes: DataFrame, with
     Near copies are clusters of codes (blob_id, code); a cluster's row is named by its leader.
     """
     exact = lineage.exact_crossposts(uses).withColumn("match_type", F.lit("exact"))
-    nodes = codes.where("code is not null").select(F.col("blob_id").alias("node"))
-    led = lineage.leaders(spark, nodes, lineage.near_pairs(codes, within))
+    led, _ = lineage.clusters(spark, codes, within)
     by_leader = uses.join(led, uses["file_hash"] == led["node"]).select(F.col("leader").alias("file_hash"), "post_id", "board_id", "site_id", "ts")
     several = led.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1").select(F.col("leader").alias("file_hash"))
     near = lineage.exact_crossposts(by_leader.join(several, "file_hash", "left_semi")).withColumn("match_type", F.lit("near"))

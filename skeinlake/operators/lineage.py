@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import combinations
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,26 +29,59 @@ def exact_crossposts(uses: DataFrame) -> DataFrame:
     )
 
 
+def code_classes(codes: DataFrame, key: str = "blob_id", code: str = "code") -> DataFrame:
+    """rep, member: the class of each key that has a code, named by the smallest key of the same code."""
+    own = codes.select(F.col(key).alias("member"), F.col(code).alias("c")).where("c is not null and member is not null").distinct()
+    return own.join(own.groupBy("c").agg(F.min("member").alias("rep")), "c").select("rep", "member")
+
+
+def _bands(n: int, within: int, width: int) -> tuple[int, int]:
+    """Bands and flips for codes of ``width`` bits in use: as few flips as leave a bucket few codes, by the pigeonhole."""
+    for flips in range(3):
+        bands = -(-(within + 1) // (flips + 1))
+        if width // bands >= math.log2(max(n, 2)) - 3:
+            break
+    return bands, flips
+
+
 def near_pairs(codes: DataFrame, within: int = 8, key: str = "blob_id", code: str = "code") -> DataFrame:
-    """a, b, distance: all pairs of codes (64 bits, as longs) that differ in up to ``within`` bits; a < b.
+    """a, b, distance: pairs of classes of equal codes (64 bits, as longs) that differ in up to ``within`` bits; a < b.
 
-    Codes are cut into within + 1 bands. By the pigeonhole principle a pair within reach agrees in one of them, so joining
-    on equal bands misses none. Equal codes are one code in the join, and expanded afterwards.
+    Classes are named as in ``code_classes``, which has their members. The bits in which codes differ at all are cut into
+    bands, and one side also asks for the values that are a few flips away, so that (bands) * (flips + 1) > within; by the
+    pigeonhole principle a pair within reach meets in one of them. Bands are the wider the more codes there are. Null
+    keys and codes take no part.
     """
-    bands = within + 1
-    edges = [round(i * 64 / bands) for i in range(bands + 1)]
-    own = codes.select(F.col(key).alias("k"), F.col(code).alias("c")).where("c is not null")
-    c = F.col("c")
-    bits = lambda low, high: F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1))
-    slices = [F.struct(F.lit(i).alias("band"), bits(low, high).alias("bits")) for i, (low, high) in enumerate(zip(edges, edges[1:]))]
-    banded = own.select("c").distinct().select(c.alias("code"), F.inline(F.array(*slices)))
-    x, y = banded.alias("x"), banded.alias("y")
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.code") < F.col("y.code")) & (vectors.hamming(F.col("x.code"), F.col("y.code")) <= within))
-    near = near.select(F.col("x.code").alias("ca"), F.col("y.code").alias("cb")).distinct()
-    apart = near.join(own.select(F.col("k").alias("a"), F.col("c").alias("ca")), "ca").join(own.select(F.col("k").alias("b"), F.col("c").alias("cb")), "cb")
-    same = own.select(F.col("k").alias("a"), "c").join(own.select(F.col("k").alias("b"), "c"), "c").where("a < b").select("a", "b", F.col("c").alias("ca"), F.col("c").alias("cb"))
-    both = apart.select("a", "b", "ca", "cb").unionByName(same)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), vectors.hamming(F.col("ca"), F.col("cb")).cast("int").alias("distance"))
+    own = codes.select(F.col(key).alias("k"), F.col(code).alias("c")).where("c is not null and k is not null").groupBy("c").agg(F.min("k").alias("k"))
+    n, ones, always = own.agg(F.count("*"), F.expr("bit_or(c)"), F.expr("bit_and(c)")).first()
+    used = [i for i in range(64) if n and ((ones & ~always) >> i) & 1]
+    if len(used) <= within:  # so few bits in use that any two codes are near
+        used = list(range(64))
+    bands, flips = _bands(n, within, len(used))
+    edges = [round(i * len(used) / bands) for i in range(bands + 1)]
+
+    def spread(most: int) -> DataFrame:
+        slices = []
+        for i, (low, high) in enumerate(zip(edges, edges[1:])):
+            value = F.lit(0).cast("long")
+            for place, bit in enumerate(used[low:high]):
+                value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col("c"), bit).bitwiseAND(F.lit(1)), place))
+            masks = [sum(1 << b for b in c) for r in range(most + 1) for c in combinations(range(high - low), r)]
+            asked = F.explode(F.lit(np.array(masks, dtype=np.int64))) if most else F.lit(0).cast("long")
+            slices.append(own.select("k", "c", F.lit(i).alias("band"), value.alias("v"), asked.alias("mask")).select("k", "c", "band", F.col("v").bitwiseXOR(F.col("mask")).alias("v")))
+        return reduce(DataFrame.unionByName, slices)
+
+    x, y = spread(flips).alias("x"), spread(0).alias("y")
+    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.k") < F.col("y.k")) & (vectors.hamming(F.col("x.c"), F.col("y.c")) <= within))
+    return near.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), vectors.hamming(F.col("x.c"), F.col("y.c")).cast("int").alias("distance")).distinct()
+
+
+def clusters(spark: SparkSession, codes: DataFrame, within: int = 8, key: str = "blob_id", code: str = "code") -> tuple[DataFrame, DataFrame]:
+    """node, leader of every key with a code, and the pairs of classes; see ``leaders``. Copies share their class's leader."""
+    classes = code_classes(codes, key, code)
+    pairs = Stage(spark, "near").cut(near_pairs(codes, within, key, code))
+    led = leaders(spark, classes.select(F.col("rep").alias("node")).distinct(), pairs)
+    return classes.join(led.withColumnRenamed("node", "rep"), "rep").select(F.col("member").alias("node"), "leader"), pairs
 
 
 def leaders(spark: SparkSession, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -69,16 +107,26 @@ def leaders(spark: SparkSession, nodes: DataFrame, pairs: DataFrame) -> DataFram
     return led.select("node", F.col("node").alias("leader")).unionByName(under)
 
 
-def lineage_tree(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """cluster, node, parent, distance: the parent is the nearest member of the cluster seen earlier, ties by the earlier.
+def lineage_tree(members: DataFrame, pairs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """cluster, node, parent, distance, first_seen: the parent is the nearest member of the cluster seen earlier, ties by the earlier.
 
-    ``members``: node, cluster, first_seen.
+    ``members``: node, cluster, first_seen. ``pairs`` are of nodes, or with ``classes`` (rep, member) of classes of equal
+    codes: a copy's parent is then the earliest of its class, and only that one looks for a parent in other classes.
     """
-    a = members.select(F.col("node").alias("p"), F.col("cluster").alias("pc"), F.col("first_seen").alias("pt"))
+    if classes is None:
+        classes = members.select(F.col("node").alias("rep"), F.col("node").alias("member"))
+    own = members.join(classes.withColumnRenamed("member", "node"), "node")
+    first = own.groupBy("rep", "cluster").agg(F.min(F.struct("first_seen", "node")).alias("f"))
+    a = first.select(F.col("rep").alias("a"), "cluster", F.col("f.first_seen").alias("pt"), F.col("f.node").alias("parent"))
     both = pairs.select("a", "b", "distance").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    near = members.join(both, members["node"] == both["b"]).join(a, (F.col("a") == F.col("p")) & (F.col("cluster") == F.col("pc"))).where((F.col("pt") < F.col("first_seen")) | ((F.col("pt") == F.col("first_seen")) & (F.col("p") < F.col("node"))))
-    best = near.groupBy("node").agg(F.min(F.struct("distance", F.col("pt"), F.col("p").alias("parent"))).alias("m"))
-    return members.join(best, "node", "left").select("cluster", "node", "m.parent", F.coalesce("m.distance", F.lit(0)).alias("distance"), "first_seen")
+    near = first.join(both, first["rep"] == both["b"]).join(a, ["a", "cluster"]).where(F.struct("pt", "parent") < F.struct(F.col("f.first_seen").alias("pt"), F.col("f.node").alias("parent")))
+    best = near.groupBy("rep", "cluster").agg(F.min(F.struct("distance", "pt", "parent")).alias("m"))
+    placed = own.join(first, ["rep", "cluster"]).join(best, ["rep", "cluster"], "left")
+    leads = F.col("node") == F.col("f.node")
+    return placed.select(
+        "cluster", "node", F.when(leads, F.col("m.parent")).otherwise(F.col("f.node")).alias("parent"),
+        F.when(leads, F.coalesce("m.distance", F.lit(0))).otherwise(F.lit(0)).alias("distance"), "first_seen",
+    )
 
 
 def continuity(threads: DataFrame, hours: float = 48.0, title: float = 0.8, body: float = 0.75, limit: int | None = None) -> DataFrame:

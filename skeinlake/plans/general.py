@@ -55,6 +55,21 @@ rooted AS (
   FROM reach r JOIN onloop o ON o.h = r.h AND o.key = r.up GROUP BY 1, 2)"""
 
 
+# paths from the first node of a loop, and walks up from a node on or below a loop until a node comes again
+_BELOW = """,
+inner_circ AS (SELECT c.* FROM circ c ANTI JOIN onloop o ON o.h = c.h AND o.key = c.key),
+lp AS (
+  SELECT h, key, [key] AS path FROM onloop
+  UNION ALL
+  SELECT c.h, c.key, list_append(l.path, c.key) FROM lp l JOIN inner_circ c ON c.h = l.h AND c.parent = l.key)"""
+_WALKS = """,
+walk AS (
+  SELECT h, key, parent AS anc, 1::BIGINT AS distance, [key] AS seen FROM circ WHERE parent <> key
+  UNION ALL
+  SELECT w.h, w.key, c.parent, w.distance + 1, list_append(w.seen, w.anc) FROM walk w JOIN circ c ON c.h = w.h AND c.key = w.anc
+  WHERE NOT list_contains(list_append(w.seen, w.anc), c.parent))"""
+
+
 def p3_found(spark, sf_dir):
     return orphans.orphan_quotes(spark, sf_dir).select("post_id", "quoted_post_native_id", "board")
 
@@ -97,10 +112,11 @@ SQL = {
     "p4_found": f"""WITH RECURSIVE {_SOLVED}{_LOOPS}
       SELECT h AS hierarchy, key AS node_key, root AS root_key, depth FROM down
       UNION ALL SELECT h, key, root, -1 FROM rooted""",
-    "p4_paths": f"""WITH RECURSIVE {_SOLVED}{_LOOPS}
+    "p4_paths": f"""WITH RECURSIVE {_SOLVED}{_LOOPS}{_BELOW}
       SELECT h AS hierarchy, key AS node_key, root AS root_key, depth, array_to_string(path, ' > ') AS path FROM down
-      UNION ALL SELECT h, key, root, -1, NULL FROM rooted""",
-    "p4_descendants": f"""WITH RECURSIVE {_SOLVED},
+      UNION ALL SELECT h, key, root, -1, array_to_string(path, ' > ') FROM rooted JOIN lp USING (h, key)""",
+    "p4_descendants": f"""WITH RECURSIVE {_SOLVED}{_LOOPS}{_WALKS},
       u AS (SELECT h, key, depth, unnest(path) AS anc, generate_subscripts(path, 1) - 1 AS pos FROM down)
-      SELECT h AS hierarchy, anc AS node_key, key AS descendant_key, (depth - pos)::BIGINT AS distance FROM u WHERE pos < depth""",
+      SELECT h AS hierarchy, anc AS node_key, key AS descendant_key, (depth - pos)::BIGINT AS distance FROM u WHERE pos < depth
+      UNION ALL SELECT h, anc, key, distance FROM walk""",
 }

@@ -277,7 +277,10 @@ def crosspost_exact(s, d):
     return lineage.exact_crossposts(_uses(s, d))
 
 
-_CODES = "co AS (SELECT vec_id AS blob_id, list_sum(list_transform(range(1, 25), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)::INTEGER) ELSE 0 END))::BIGINT AS code FROM embeddings)"
+_HALF = "list_sum(list_transform(range({}, {}), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - {})::INTEGER) ELSE 0 END))::BIGINT"
+_CODES = f"co AS (SELECT vec_id AS blob_id, {_HALF.format(1, 33, 1)} AS lo, {_HALF.format(33, 65, 33)} AS hi FROM embeddings)"
+_FAR = "(bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)))"
+_CLASSES = f"{_CODES}, cl AS (SELECT lo, hi, min(blob_id) AS blob_id FROM co GROUP BY ALL)"
 
 
 def _codes(s, d):
@@ -285,31 +288,42 @@ def _codes(s, d):
     return tables.load(s, d, "embeddings").select(F.col("vec_id").alias("blob_id"), vectors.bits(F.col("embedding")).alias("code"))
 
 
-@query("crosspost_near_pairs", f"WITH {_CODES} SELECT x.blob_id AS a, y.blob_id AS b, bit_count(xor(x.code, y.code))::INTEGER AS distance FROM co x JOIN co y ON x.blob_id < y.blob_id WHERE bit_count(xor(x.code, y.code)) <= 3")
-def crosspost_near_pairs(s, d):
-    return lineage.near_pairs(_codes(s, d))
+#: The usual distance, and one at which the vectors of the test data, which have no near copies, meet.
+for _within, _name in ((8, ""), (20, "_wide")):
+    _LED = f"""WITH RECURSIVE {_CODES}, nu AS (SELECT *, row_number() OVER (ORDER BY blob_id) AS i FROM co),
+      st AS (SELECT 0::BIGINT AS i, []::STRUCT(lo BIGINT, hi BIGINT, k BIGINT)[] AS led, NULL::BIGINT AS node, NULL::BIGINT AS leader
+        UNION ALL
+        SELECT y.i, CASE WHEN f IS NULL THEN list_append(led, {{'lo': y.lo, 'hi': y.hi, 'k': y.blob_id::BIGINT}}) ELSE led END, y.blob_id, coalesce(f, y.blob_id)
+        FROM (SELECT st.led, nu.*, list_filter(st.led, lambda x: bit_count(xor(x.lo, nu.lo)) + bit_count(xor(x.hi, nu.hi)) <= {_within})[1].k AS f FROM st JOIN nu ON nu.i = st.i + 1) y),
+      le AS (SELECT node, leader FROM st WHERE node IS NOT NULL)"""
 
+    @query(f"crosspost_near_pairs{_name}", f"WITH {_CLASSES} SELECT x.blob_id AS a, y.blob_id AS b, {_FAR}::INTEGER AS distance FROM cl x JOIN cl y ON x.blob_id < y.blob_id WHERE {_FAR} <= {_within}")
+    def crosspost_near_pairs(s, d, within=_within):
+        return lineage.near_pairs(_codes(s, d), within)
 
-@query("crosspost_clusters")
-def crosspost_clusters(s, d):
-    codes = _codes(s, d)
-    return lineage.leaders(s, codes.select(F.col("blob_id").alias("node")), lineage.near_pairs(codes))
+    @query(f"crosspost_clusters{_name}", f"{_LED} SELECT node, leader FROM le")
+    def crosspost_clusters(s, d, within=_within):
+        return lineage.clusters(s, _codes(s, d), within)[0]
 
+    @query(f"lineage_tree{_name}", f"""{_LED}, n AS (SELECT le.*, lo, hi FROM le JOIN co ON blob_id = node),
+      b AS (SELECT y.node, arg_min(x.node, {_FAR}::BIGINT * 1000000000 + x.node) AS parent, min({_FAR}) AS distance FROM n x JOIN n y ON x.leader = y.leader AND x.node < y.node WHERE {_FAR} <= {_within} GROUP BY 1)
+      SELECT leader AS cluster, node, parent, coalesce(distance, 0)::INTEGER AS distance, node AS first_seen FROM n LEFT JOIN b USING (node)""")
+    def lineage_tree(s, d, within=_within):
+        codes = _codes(s, d)
+        led, pairs = lineage.clusters(s, codes, within)
+        members = led.select("node", F.col("leader").alias("cluster"), F.col("node").alias("first_seen"))
+        return lineage.lineage_tree(members, pairs, lineage.code_classes(codes))
 
-@query("lineage_tree")
-def lineage_tree(s, d):
-    codes = _codes(s, d)
-    pairs = lineage.near_pairs(codes)
-    led = lineage.leaders(s, codes.select(F.col("blob_id").alias("node")), pairs)
-    members = led.select("node", F.col("leader").alias("cluster"), F.col("node").alias("first_seen"))
-    return lineage.lineage_tree(members, pairs)
 
+_BLANKS = r"[\s\x0b\x{85}\p{Z}]+"
+_TRIM = f"regexp_replace(lower(subject), '^{_BLANKS}|{_BLANKS}$', '', 'g')"
+_TITLES = f"ti AS (SELECT thread_id, {_TRIM} AS t FROM tr WHERE trim(subject) <> '')"
+_SIM = "round(CASE WHEN coalesce(x.t, '') = '' OR coalesce(y.t, '') = '' THEN 0.0 WHEN x.t = y.t THEN 1.0 WHEN starts_with(x.t, y.t) OR starts_with(y.t, x.t) THEN least(strlen(x.t), strlen(y.t)) / greatest(strlen(x.t), strlen(y.t)) ELSE 1 - levenshtein(x.t, y.t) / greatest(strlen(x.t), strlen(y.t)) END, 6)::DOUBLE"
+_WORDS = "list_filter(regexp_split_to_array(lower(@), '" + _BLANKS + "'), lambda x: x <> '')"
+_ALIKE = "CASE WHEN len(x.w) > 0 AND len(y.w) > 0 THEN round(len(list_filter(y.w, lambda v: list_contains(x.w, v))) / greatest(len(x.w), len(y.w)), 6) ELSE 0 END::DOUBLE"
 
-_TITLES = "ti AS (SELECT thread_id, lower(trim(subject)) AS t FROM tr WHERE subject IS NOT NULL AND trim(subject) <> '')"
-_SIM = "CASE WHEN x.t = y.t THEN 1.0 WHEN starts_with(x.t, y.t) OR starts_with(y.t, x.t) THEN least(length(x.t), length(y.t)) / greatest(length(x.t), length(y.t)) ELSE 1 - {lev} / greatest(length(x.t), length(y.t)) END"
 
-
-@query("title_similarity", f"WITH {_THREADS}, {_TITLES}, x AS (SELECT * FROM ti WHERE t ~ '^[ -~]*$') SELECT x.thread_id AS a, y.thread_id AS b, round({_SIM.format(lev='levenshtein(x.t, y.t)')}, 6)::DOUBLE AS similarity FROM x JOIN x y ON y.thread_id = x.thread_id + 1")
+@query("title_similarity", f"WITH {_THREADS}, {_TITLES} SELECT x.thread_id AS a, y.thread_id AS b, {_SIM} AS similarity FROM ti x JOIN ti y ON y.thread_id = x.thread_id + 1")
 def title_similarity(s, d):
     t = tables.once(s, d, "threads", "board_id", "thread_native_id", "subject", "sticky", "locked", "archived")
     t = t.where("trim(subject) <> ''").select(F.col("id").alias("a"), F.col("subject").alias("s1"))
@@ -317,8 +331,7 @@ def title_similarity(s, d):
     return t.join(u, "a").select("a", "b", F.round(text.title_similarity(F.col("s1"), F.col("s2")), 6).alias("similarity"))
 
 
-@query("text_similarity", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND text ~ '^[\x09-\x0d -~]*$')
-  SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN round(len(list_filter(b.w, lambda x: list_contains(a.w, x))) / greatest(len(a.w), len(b.w)), 6) ELSE 0 END::DOUBLE AS similarity FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
+@query("text_similarity", f"WITH d AS (SELECT doc_id, {_WORDS.replace('@', 'text')} AS w FROM documents WHERE text IS NOT NULL) SELECT x.doc_id AS a, y.doc_id AS b, {_ALIKE} AS similarity FROM d x JOIN d y ON y.doc_id = x.doc_id + 1")
 def text_similarity(s, d):
     t = tables.load(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("a"), F.col("text").alias("t1"))
     u = t.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("t1").alias("t2"))
@@ -333,22 +346,24 @@ def _thread_spans(s, d):
     )
 
 
-#: Hours between threads in the queries here; the archive of the test data is sparse.
-_GAP = 1000
-
+#: Hours between threads: the usual, and a wide gap as the archive of the test data is sparse.
+_LINKS = f"""WITH {_WIDE}, sp AS (SELECT thread_id, board_id, {_TRIM} AS t, archived, min(ts) AS first_ts, max(ts) AS last_ts FROM w WHERE year(ts) > 1970 GROUP BY ALL),
+  op AS (SELECT thread_id, {_WORDS.replace('@', 'comment_raw')} AS w FROM w WHERE year(ts) > 1970 QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY post_native_id::BIGINT NULLS FIRST, post_id) = 1),
+  th AS (SELECT * FROM sp JOIN op USING (thread_id)),
+  pr AS (SELECT x.thread_id AS prev_thread_id, y.thread_id AS next_thread_id, round((epoch_us(y.first_ts) - epoch_us(x.last_ts)) / 3.6e9, 6) AS time_gap_hours, {_SIM} AS title_similarity, {_ALIKE} AS op_similarity
+    FROM th x JOIN th y ON x.board_id = y.board_id AND x.thread_id <> y.thread_id WHERE x.archived AND y.first_ts > x.last_ts AND y.first_ts <= x.last_ts + INTERVAL @ HOUR),
+  li AS (SELECT *, round((title_similarity + op_similarity) / 2, 6) AS confidence FROM pr WHERE title_similarity >= 0.8 OR op_similarity >= 0.75)"""
 
-@query("thread_continuity", f"""WITH {_WIDE}, sp AS (SELECT thread_id, board_id, lower(trim(subject)) AS t, archived, min(ts) AS first_ts, max(ts) AS last_ts FROM w WHERE year(ts) > 1970 AND subject ~ '^[ -~]*[!-~][ -~]*$' GROUP BY ALL),
-  pr AS (SELECT x.thread_id AS prev_thread_id, y.thread_id AS next_thread_id, round((epoch_us(y.first_ts) - epoch_us(x.last_ts)) / 3.6e9, 6) AS time_gap_hours, round({_SIM.format(lev='levenshtein(x.t, y.t)')}, 6)::DOUBLE AS title_similarity
-    FROM sp x JOIN sp y ON x.board_id = y.board_id AND x.thread_id <> y.thread_id WHERE x.archived AND y.first_ts > x.last_ts AND y.first_ts <= x.last_ts + INTERVAL {_GAP} HOUR)
-  SELECT * FROM pr WHERE title_similarity >= 0.8""")
-def thread_continuity(s, d):
-    """Links by titles or by opening posts, of threads with any subject or none."""
-    return lineage.continuity(_thread_spans(s, d), _GAP).select("prev_thread_id", "next_thread_id", "time_gap_hours", "title_similarity")
+for _gap, _name in ((48, "_48h"), (1000, "")):
 
+    @query(f"thread_continuity{_name}", f"{_LINKS.replace("@", str(_gap))} SELECT * FROM li")
+    def thread_continuity(s, d, gap=_gap):
+        """Links by titles or by opening posts, of threads with any subject or none."""
+        return lineage.continuity(_thread_spans(s, d), gap)
 
-@query("thread_pointers")
-def thread_pointers(s, d):
-    return lineage.pointers(lineage.continuity(_thread_spans(s, d), _GAP))
+    @query(f"thread_pointers{_name}", f"{_LINKS.replace("@", str(_gap))} SELECT prev_thread_id, next_thread_id FROM li QUALIFY row_number() OVER (PARTITION BY prev_thread_id ORDER BY confidence DESC, time_gap_hours, next_thread_id) = 1")
+    def thread_pointers(s, d, gap=_gap):
+        return lineage.pointers(lineage.continuity(_thread_spans(s, d), gap))
 
 
 # ---- graph -----------------------------------------------------------------------------------------------------------
