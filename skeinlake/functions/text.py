@@ -60,16 +60,17 @@ def without_quotes(c: Column) -> Column:
     return collapse(F.regexp_replace(c, r">>(/[A-Za-z0-9_]+/)?\d+", " "))
 
 
-_ARROWS = "(?:&gt;|>)"
-_CROSS = rf"{_ARROWS}{{3}}\s*/?\s*([A-Za-z0-9_+\-]+)/\s*(\d+)"
-_SAME = rf"{_ARROWS}{{2,3}}\s*(\d+)"
+#: How comments refer to posts, three arrows with a board's code, or two or three before a number.
+_ARROW = "(?:>|&gt;)"
+CROSS_BOARD = _ARROW + r"{3}\s*/?\s*([\w+-]+)/\s*([0-9]+)"
+SAME_BOARD = _ARROW + r"{2,3}\s*([0-9]+)"
 
 
 def extract_quotes(c: Column) -> Column:
     """array<struct<board, post_id>>: references to other boards, then to the own one (''), each in order, repeats kept."""
-    boards, numbers = F.regexp_extract_all(c, F.lit(_CROSS), 1), F.regexp_extract_all(c, F.lit(_CROSS), 2)
+    boards, numbers = F.regexp_extract_all(c, F.lit(CROSS_BOARD), 1), F.regexp_extract_all(c, F.lit(CROSS_BOARD), 2)
     cross = F.zip_with(boards, numbers, lambda b, n: F.struct(b.alias("board"), n.alias("post_id")))
-    rest = F.regexp_extract_all(F.regexp_replace(c, _CROSS, ""), F.lit(_SAME), 1)
+    rest = F.regexp_extract_all(F.regexp_replace(c, CROSS_BOARD, ""), F.lit(SAME_BOARD), 1)
     return F.concat(cross, F.transform(rest, lambda n: F.struct(F.lit("").alias("board"), n.alias("post_id"))))
 
 

@@ -23,12 +23,19 @@ def crosspost_cycle(spark: SparkSession, uses: DataFrame, codes: DataFrame, with
     return exact.unionByName(near)
 
 
-def saved_searches(searches: list[tuple[int, str]], wide: DataFrame, files: DataFrame, quotes: DataFrame) -> tuple[DataFrame | None, dict[int, str]]:
-    """Hits (saved_search_id, post_id, matched_at) of all searches, and the mistakes of those that can't be read."""
+def saved_searches(searches: list[tuple], wide: DataFrame, files: DataFrame, quotes: DataFrame, **vectors) -> tuple[DataFrame | None, dict[int, str]]:
+    """Hits (saved_search_id, post_id, matched_at) of all searches, and the mistakes of those that can't be read.
+
+    A search is its number and source and, if it is confined to them, a site's name and a board's code; blank ones and
+    None confine nothing. ``vectors`` are those of ``dsl.apply``.
+    """
     hits, mistakes = None, {}
-    for number, source in searches:
+    for number, source, *within in searches:
+        scoped = wide
+        for column, value in zip(("site", "board"), within):
+            scoped = scoped.where(F.col(column) == value) if value else scoped
         try:
-            part = dsl.apply(dsl.parse(source), wide, files, quotes).select(F.lit(number).cast("long").alias("saved_search_id"), "post_id", F.col("ts").alias("matched_at"))
+            part = dsl.apply(dsl.parse(source), scoped, files, quotes, **vectors).select(F.lit(number).cast("long").alias("saved_search_id"), "post_id", F.col("ts").alias("matched_at"))
         except dsl.DslError as e:
             mistakes[number] = str(e)
             continue

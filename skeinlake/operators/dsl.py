@@ -8,6 +8,7 @@ field is a mistake, not a filter that matches everything.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -220,10 +221,12 @@ def predicate(f: Filter) -> Column:
     return ~p if flip else p
 
 
-def apply(q: Query, wide: DataFrame, files: DataFrame, quotes: DataFrame) -> DataFrame:
+def apply(q: Query, wide: DataFrame, files: DataFrame, quotes: DataFrame, vecs: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None) -> DataFrame:
     """The posts of ``wide`` that the query names, in its order; without one, newest first.
 
-    Terms of vectors are no predicates (see ``search``). ``files`` has post_id, mime and filename, ``quotes`` post_id and
+    A term of vectors ranks: the posts that pass the filters and have a vector in ``vecs`` (post_id, embedding) come by the
+    cosine to the vector that ``embed`` gives for its text, in column score, nearest first unless the query says how to
+    sort. Without both, such a query is an error. ``files`` has post_id, mime and filename, ``quotes`` post_id and
     quoted_post_native_id. Both are joined by post_id, so they are shuffled only where they are asked for.
     """
     out = wide
@@ -245,6 +248,15 @@ def apply(q: Query, wide: DataFrame, files: DataFrame, quotes: DataFrame) -> Dat
             out = out.join(keys.select("post_id"), "post_id", "left_anti" if anti else "left_semi")
         else:
             out = out.where(predicate(f))
+    if (wanted := vector_text(q)) is not None:
+        if vecs is None or embed is None:
+            raise DslError("no vectors to rank by", 0)
+        from . import search
+
+        out = out.join(search.scored(vecs.join(out.select("post_id"), "post_id", "left_semi"), embed(wanted)), "post_id")
+        if q.sort is None:
+            out = out.orderBy(F.desc("score"), "post_id")
+            return (out.offset(q.offset) if q.offset else out).limit(q.limit)
     field, order = q.sort or ("timestamp", "desc")
     if field not in SORTS:
         raise DslError(f"cannot sort by {field}", 0)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,13 +82,47 @@ def pagerank(spark: SparkSession, e: DataFrame, seeds: DataFrame, alpha: float =
 
 def structural_vectors(e: DataFrame, vecs: DataFrame) -> DataFrame:
     """post_id, embedding: the mean of a post's own vector, its first quoted post's and those of all that quote it, scaled
-    to length 1. Vectors are summed place by place, so no post's neighbours are gathered in one row."""
+    to length 1. Each task sums the vectors of a post that it meets, so a post has one row a task in the shuffle."""
     known = e.where("target_post_id is not null")
     parent = known.groupBy(F.col("source_post_id").alias("post_id")).agg(F.min("target_post_id").alias("from"))
     children = known.select(F.col("target_post_id").alias("post_id"), F.col("source_post_id").alias("from"))
     own = vecs.select("post_id", F.col("post_id").alias("from"))
     pairs = own.unionByName(parent).unionByName(children).distinct().join(own.select("post_id"), "post_id", "left_semi")
-    places = pairs.join(vecs.select(F.col("post_id").alias("from"), "embedding"), "from").select("post_id", F.posexplode("embedding").alias("i", "v"))
-    mean = places.groupBy("post_id", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    norm = mean.groupBy("post_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"), F.sort_array(F.collect_list(F.struct("i", "v"))).alias("l"))
-    return norm.select("post_id", F.transform("l", lambda x: F.when(F.col("n") > 0, x["v"] / F.col("n")).otherwise(x["v"])).alias("embedding"))
+    met = pairs.join(vecs.select(F.col("post_id").alias("from"), "embedding"), "from").select("post_id", F.lit(1).cast("long").alias("n"), F.col("embedding").cast("array<double>").alias("s"))
+    part = met.mapInArrow(_sums, _SUMS).repartition("post_id").sortWithinPartitions("post_id").mapInArrow(_sums, _SUMS)
+    mean = part.select("post_id", F.transform("s", lambda v: v / F.col("n")).alias("m"))
+    length = F.sqrt(F.aggregate("m", F.lit(0.0), lambda t, v: t + v * v))
+    return mean.withColumn("l", length).select("post_id", F.transform("m", lambda v: F.when(F.col("l") > 0, v / F.col("l")).otherwise(v)).alias("embedding"))
+
+
+_SUMS = "post_id long, n long, s array<double>"
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of n and s of each run of a post; what a batch ends with is carried on."""
+    key, n, total = None, 0, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["post_id", "n", "s"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids, counts = b.column(0).to_numpy(), b.column(1).to_numpy()
+        x = b.column(2).flatten().to_numpy().reshape(len(ids), -1)
+        order = np.argsort(ids, kind="stable")
+        ids, counts, x = ids[order], counts[order], x[order]
+        at = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
+        ids, counts, x = ids[at], np.add.reduceat(counts, at), np.add.reduceat(x, at)
+        if key is not None:
+            if key == ids[0]:
+                counts[0] += n
+                x[0] += total
+            else:
+                yield row()
+        if len(ids) > 1:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) - 1) * x.shape[1] + 1, x.shape[1], dtype=np.int32)), pa.array(x[:-1].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:-1]), pa.array(counts[:-1]), lists], names=["post_id", "n", "s"])
+        key, n, total = int(ids[-1]), int(counts[-1]), x[-1].copy()
+    if key is not None:
+        yield row()

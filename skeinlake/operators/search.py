@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,10 @@ from ..functions import text, vectors
 from .dsl import text_match
 
 
+#: Queries of a block that is broadcast.
+QUERIES = 8192
+
+
 @dataclass(frozen=True)
 class Options:
     """Filters of a search; one that is None is not in the plan."""
@@ -88,7 +93,10 @@ def top(scores: DataFrame, k: int, key: str = "post_id") -> DataFrame:
 def dense(wide: DataFrame, files: DataFrame, vecs: DataFrame, query: list[float], o: Options, metric: str = "cosine") -> DataFrame:
     """post_id, score, excerpt of the k posts nearest to the query among those that pass the filters."""
     passed = scope(wide, files, o).select("post_id", "comment_raw")
-    hits = top(scored(vecs.join(passed.select("post_id"), "post_id", "left_semi"), query, metric), o.top)
+    free = all(v is None for v in (o.site, o.board, o.thread, o.since, o.until, o.has_attachment, o.words))
+    if not free:
+        vecs = vecs.join(passed.select("post_id"), "post_id", "left_semi")
+    hits = top(scored(vecs, query, metric), o.top)
     return hits.join(passed, "post_id").select("post_id", "score", text.excerpt(text.strip_html(F.coalesce("comment_raw", F.lit("")))).alias("excerpt"))
 
 
@@ -130,13 +138,19 @@ def binary_first(vecs: DataFrame, query: list[float], k: int = 20, candidates: i
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query, ``key``, score: the k nearest of the corpus to each of a stated set of queries, which is broadcast to it.
+    """query, ``key``, score: the k nearest of the corpus to each of a stated set of queries, in blocks that are broadcast to it.
 
-    The set must be small (it is checked); each task keeps its best k of each query, so little is shuffled.
+    Blocks are divided by hash and hold about QUERIES queries; each task keeps its best k of each query, so little is shuffled.
     """
-    q = queries.select(key, vector).limit(10_001).toArrow()
-    if q.num_rows > 10_000:
-        raise ValueError("a query set is at most 10,000 vectors; search larger ones in blocks")
+    blocks = -(-queries.count() // QUERIES)
+    if blocks > 1:
+        block = F.pmod(F.xxhash64(key), F.lit(blocks))
+        return reduce(DataFrame.unionByName, (_knn_block(queries.where(block == i), corpus, k, key, vector) for i in range(blocks)))
+    return _knn_block(queries, corpus, k, key, vector)
+
+
+def _knn_block(queries: DataFrame, corpus: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    q = queries.select(key, vector).toArrow()  # about QUERIES rows
     ids = q.column(0).to_numpy()
     x = np.array(q.column(1).to_pylist(), dtype=np.float64)
     shared = corpus.sparkSession.sparkContext.broadcast((ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)))

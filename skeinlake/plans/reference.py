@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..functions import misc, text, vectors
-from ..operators import anomaly, archive, dsl, evaluation, graph, lineage, merge, orphans, search, stylometry, trends
+from ..operators import anomaly, archive, cycles, dsl, evaluation, graph, lineage, merge, orphans, search, stylometry, trends
+from ..sources import feeds
 from .general import _PLACED
 
 QUERIES: dict = {}
@@ -218,6 +219,33 @@ def saved_search_cycle(s, d):
     return out
 
 
+@query("saved_search_scoped", f"""WITH {_WIDE}, r AS (SELECT 1 AS saved_search_id, post_id, row_number() OVER (ORDER BY ts DESC NULLS LAST, post_id DESC) AS n FROM w WHERE sage AND site = 'mossboard'
+  UNION ALL SELECT 2, post_id, row_number() OVER (ORDER BY ts DESC NULLS LAST, post_id DESC) FROM w WHERE NOT sage AND board = 'tek'
+  UNION ALL SELECT 3, post_id, row_number() OVER (ORDER BY ts DESC NULLS LAST, post_id DESC) FROM w WHERE NOT sage AND board = 'tek' AND site = 'mossboard')
+  SELECT saved_search_id::BIGINT AS saved_search_id, post_id FROM r WHERE n <= 50""")
+def saved_search_scoped(s, d):
+    searches = [(1, "sage:true limit:50", "mossboard", None), (2, "sage:false limit:50", "", "tek"), (3, "sage:false limit:50", "mossboard", "tek"), (4, "colour:red", "mossboard", None)]
+    quotes = tables.load(s, d, "post_quotes").select("post_id", "quoted_post_native_id")
+    return cycles.saved_searches(searches, _wide(s, d), archive.files(s, d), quotes)[0].select("saved_search_id", "post_id")
+
+
+@query("dsl_semantic", _dense_sql(_COS, "WHERE sage IS NOT TRUE", 30))
+def dsl_semantic(s, d):
+    """Ranked by vectors among the posts that pass; the embedder here is a stored vector for any text."""
+    q = dsl.parse('semantic:"old kettles" sage:false limit:30')
+    quotes = tables.load(s, d, "post_quotes").select("post_id", "quoted_post_native_id")
+    hits = dsl.apply(q, _wide(s, d), archive.files(s, d), quotes, _vecs(s, d), lambda text: _query_vector(s, d))
+    return _rounded(hits.select("post_id", "score"))
+
+
+@query("lynx_records", r"""SELECT board, capture_id::VARCHAR AS thread_id, trim(json_extract_string(body, '$.no')) AS native_id, coalesce(json_extract_string(body, '$.name'), '') AS name, coalesce(json_extract_string(body, '$.sub'), '') AS subject,
+  coalesce(json_extract_string(body, '$.com'), '') AS comment_raw, coalesce(TRY_CAST(trim(json_extract_string(body, '$.time')) AS BIGINT), 0) AS timestamp FROM lynx_posts WHERE json_extract_string(body, '$.no') IS NOT NULL""")
+def lynx_records(s, d):
+    """Every raw record in the common form."""
+    raw = tables.load(s, d, "lynx_posts").select("board", F.col("capture_id").cast("string").alias("thread_id"), F.lit("https://b.example").alias("base_url"), F.concat(F.lit('{"posts":['), "body", F.lit("]}")).alias("body"))
+    return feeds.lynx_thread(raw).select("board", "thread_id", *(f"post.{c}" for c in ("native_id", "name", "subject", "comment_raw", "timestamp")))
+
+
 @query("alerts_due", """WITH h AS (SELECT DISTINCT ON (saved_search_id, post_id) * FROM search_hits ORDER BY saved_search_id, post_id, score NULLS FIRST, matched_at),
   n AS (SELECT saved_search_id AS alert_id, count(*) AS hit_count, list_sort(list(DISTINCT post_id)) AS new_post_ids FROM h WHERE matched_at > '2025-06-01' GROUP BY 1)
   SELECT alert_id, alert_id AS saved_search_id, hit_count, new_post_ids FROM n WHERE hit_count >= 2""")
@@ -416,13 +444,17 @@ def ppr_converged(s, d):
 
 @query("structural_vectors", f"""WITH {_EDGE}, {_VECS}, pr AS (SELECT post_id, post_id AS f FROM ve UNION SELECT source_post_id, min(target_post_id) FROM ed WHERE target_post_id IS NOT NULL GROUP BY 1 UNION SELECT target_post_id, source_post_id FROM ed WHERE target_post_id IS NOT NULL),
   pl AS (SELECT p.post_id, unnest(range(384)) AS i, unnest(v.e)::DOUBLE AS v FROM pr p JOIN ve o ON o.post_id = p.post_id JOIN ve v ON v.post_id = p.f), m AS (SELECT post_id, i, avg(v) AS v FROM pl GROUP BY 1, 2), n AS (SELECT post_id, sqrt(sum(v * v)) AS n, max(CASE WHEN i = 0 THEN v END) AS v0, max(CASE WHEN i = 383 THEN v END) AS v383 FROM m GROUP BY 1)
-  SELECT post_id, round(CASE WHEN n > 0 THEN v0 / n ELSE v0 END, 6) AS first, round(CASE WHEN n > 0 THEN v383 / n ELSE v383 END, 6) AS last FROM n""")
+  SELECT m.post_id, i::INTEGER AS place, round(CASE WHEN n > 0 THEN v / n ELSE v END, 5) AS value FROM m JOIN n ON n.post_id = m.post_id""")
 def structural_vectors(s, d):
     v = graph.structural_vectors(graph.edges(s, d), _vecs(s, d))
-    return v.select("post_id", F.round(F.element_at("embedding", 1), 6).alias("first"), F.round(F.element_at("embedding", 384), 6).alias("last"))
+    return v.select("post_id", F.posexplode("embedding").alias("place", "value")).withColumn("value", F.round("value", 5))
 
 
-@query("search_struct")
+@query("search_struct", f"""WITH {_EDGE}, {_VECS}, pr AS (SELECT post_id, post_id AS f FROM ve UNION SELECT source_post_id, min(target_post_id) FROM ed WHERE target_post_id IS NOT NULL GROUP BY 1 UNION SELECT target_post_id, source_post_id FROM ed WHERE target_post_id IS NOT NULL),
+  pl AS (SELECT p.post_id, unnest(range(384)) AS i, unnest(v.e)::DOUBLE AS v FROM pr p JOIN ve o ON o.post_id = p.post_id JOIN ve v ON v.post_id = p.f), m AS (SELECT post_id, i, avg(v) AS v FROM pl GROUP BY 1, 2),
+  qv AS (SELECT unnest(range(384)) AS i, unnest(q)::DOUBLE AS v FROM (SELECT {_QUERY} AS q FROM ve LIMIT 1)),
+  s AS (SELECT m.post_id, sum(m.v * qv.v) / sqrt(sum(m.v * m.v)) / sqrt(sum(qv.v * qv.v)) AS score FROM m JOIN qv USING (i) GROUP BY 1)
+  SELECT post_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, post_id LIMIT 20""")
 def search_struct(s, d):
     return _rounded(search.top(search.scored(graph.structural_vectors(graph.edges(s, d), _vecs(s, d)), _query_vector(s, d)), 20))
 
@@ -553,10 +585,10 @@ def eval_summary(s, d):
 
 
 @query("canonical_promotion", r"""WITH c AS (SELECT trim(regexp_replace(regexp_replace(trim(lower(text), ' '), '[.!?,;:]+$', ''), '\s+', ' ', 'g'), ' ') AS t, created_at AS ts FROM documents WHERE text IS NOT NULL)
-  SELECT t AS normalized_text, count(*) AS ref_count, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM c WHERE t <> '' GROUP BY 1 HAVING count(*) >= 3""")
+  SELECT t AS normalized_text, count(*) AS ref_count, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM c WHERE t <> '' GROUP BY 1 HAVING count(*) >= 2""")
 def canonical_promotion(s, d):
     docs = tables.load(s, d, "documents").where("text is not null").withColumn("ts", F.col("created_at"))
-    return merge.promote(docs, text.canonicalize(F.col("text")), 3)
+    return merge.promote(docs, text.canonicalize(F.col("text")), 2)
 
 
 @query("blob_refcount", f"WITH {_POSTS}, {_FILES} SELECT file_hash, max(mime) AS mime_type, count(*)::INTEGER AS ref_count FROM fl GROUP BY 1")
