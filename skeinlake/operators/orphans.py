@@ -3,12 +3,14 @@
 Parents and distinct reference targets are range-partitioned on the key. In each range the parents come first, in order,
 and form one sorted array; the targets follow in Arrow batches that are probed by binary search. A target that many
 references share is aggregated before the shuffle, so that a hot key is one row. Only the misses are joined back to the
-references; as a missing key may still hold a third of them, that join is salted on both sides.
+references; as a missing key may still hold a third of them, that join is salted on both sides, by the number of its
+references.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,26 @@ from pyspark.sql import functions as F
 
 from .. import tables
 
-#: Copies of a missing key for the join back: a hot key is spread over so many tasks.
-SALTS = 8
+#: References of a key that one task joins back, about: a key of more is spread over several tasks.
+PER_TASK = 100_000
+#: Keys of up to so many bytes are held at a fixed width; a range with a longer one holds its keys one by one.
+WIDTH = 64
+
+
+def _held(keys: pa.Array) -> np.ndarray:
+    """The keys as bytes, which sort as Spark orders strings."""
+    b = [k.encode() for k in keys.to_pylist()]
+    if max(map(len, b), default=0) <= WIDTH:
+        return np.array(b, dtype="S")
+    out = np.empty(len(b), dtype=object)
+    out[:] = b
+    return out
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    if any(p.dtype == object for p in parts):
+        parts = [p.astype(object) for p in parts]
+    return np.concatenate(parts) if parts else np.empty(0, dtype="S1")
 
 
 def missing_keys(parents: DataFrame, targets: DataFrame, key: str = "key") -> DataFrame:
@@ -40,14 +60,16 @@ def missing_keys(parents: DataFrame, targets: DataFrame, key: str = "key") -> Da
             keys = b.column(0)
             split = int(np.searchsorted(is_target, 1))
             if split:
-                parts.append(np.array([k.encode() for k in keys.slice(0, split).to_pylist()], dtype="S"))
+                parts.append(_held(keys.slice(0, split)))
             if split == len(keys):
                 continue
-            if held is None:  # sorted by bytes, as Spark orders strings
-                held = np.concatenate(parts) if parts else np.empty(0, dtype="S1")
+            if held is None:
+                held = _joined(parts)
                 parts.clear()
             wanted = keys.slice(split)
-            w = np.array([k.encode() for k in wanted.to_pylist()], dtype="S")
+            w = _held(wanted)
+            if w.dtype == object or held.dtype == object:
+                w, held = w.astype(object), held.astype(object)
             at = np.searchsorted(held, w)
             hit = np.zeros(len(w), dtype=bool)
             inside = at < len(held)
@@ -87,12 +109,18 @@ def orphan_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = tables.placed_posts(spark, sf_dir)
     refs = quote_targets(spark, sf_dir, placed)
     parents = placed.select(tables.node_key(F.col("site_id"), F.col("code"), F.col("number")).alias("key"))
-    missing = missing_keys(parents, refs).select(
-        "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    )
-    keyed = refs.where("key is not null").withColumn("salt", F.pmod(F.xxhash64("post_id"), F.lit(SALTS)).cast("int"))
     out = ["post_id", "quoted_post_native_id", "board", "key"]
-    return keyed.join(missing, ["key", "salt"]).select(*out).unionByName(refs.where("key is null").select(*out))
+    found = with_missing(refs.where("key is not null"), missing_keys(parents, refs), "post_id")
+    return found.select(*out).unionByName(refs.where("key is null").select(*out))
+
+
+def with_missing(refs: DataFrame, missing: DataFrame, spread: str) -> DataFrame:
+    """The rows of ``refs`` whose key is in ``missing``. Keys of many rows are few, and their rows are spread by ``spread``."""
+    hot = refs.groupBy("key").count().where(F.col("count") > PER_TASK).select("key", F.ceil(F.col("count") / PER_TASK).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    copies = missing.join(hot, "key", "left").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_salt"))
+    placed = refs.join(hot, "key", "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts.cast("long")).cast("int")).drop("_parts")
+    return placed.join(copies, ["key", "_salt"]).drop("_salt")
 
 
 def orphan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,3 +139,42 @@ def orphan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.lit("post_quotes").alias("table_name"), "month")
         .agg(F.sum("ref").alias("n_references"), F.sum("miss").alias("n_orphans"))
     )
+
+
+def report(references: DataFrame, parents: DataFrame) -> DataFrame:
+    """table_name, month, n_references, n_orphans of any tables' references (table_name, key, ts) to ``parents`` (table_name, key).
+
+    ``parents`` names the table of the references that it answers. A null key is no reference; repeated rows count. The
+    month is null for a null or 1970 time. References are counted by key before they are probed.
+    """
+    named = lambda df: F.concat("table_name", F.lit("|"), F.col("key").cast("string"))
+    month = F.when(F.year("ts") > 1970, F.date_format("ts", "yyyy-MM"))
+    counted = references.select(named(references).alias("key"), "table_name", month.alias("month")).where("key is not null").groupBy("key", "table_name", "month").agg(F.count("*").alias("n"))
+    missing = missing_keys(parents.select(named(parents).alias("key")), counted).withColumn("miss", F.lit(True))
+    per = counted.join(missing, "key", "left").groupBy("table_name", "month")
+    return per.agg(F.sum("n").alias("n_references"), F.coalesce(F.sum(F.when(F.col("miss"), F.col("n"))), F.lit(0).cast("long")).alias("n_orphans"))
+
+
+def tables_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``report`` over every stored column that refers to a key of another table, besides quotes."""
+    load = lambda name: tables.load(spark, sf_dir, name)
+    refs, parents = [], []
+
+    def add(table: str, column: str, ts: str | None, to: str) -> None:
+        name = F.lit(f"{table}.{column}").alias("table_name")
+        time = F.col(ts) if ts else F.lit(None).cast("timestamp_ntz")
+        refs.append(load(table).select(name, F.col(column).alias("key"), time.cast("timestamp_ntz").alias("ts")))
+        parents.append(load(to).select(name, F.col("id").alias("key")))
+
+    for table, column, ts, to in REFERENCES:
+        add(table, column, ts, to)
+    every = lambda dfs: reduce(DataFrame.unionByName, dfs)
+    return report(every(refs), every(parents))
+
+
+#: Columns that refer to a key, with the time of the reference and the table that holds the key as ``id``.
+REFERENCES = (
+    ("posts", "thread_id", "timestamp", "threads"), ("threads", "board_id", "first_seen_at", "boards"), ("boards", "site_id", None, "sites"),
+    ("threads", "continuity_prev_id", "first_seen_at", "threads"), ("threads", "continuity_next_id", "first_seen_at", "threads"), ("post_quotes", "post_id", None, "posts"),
+    ("post_embeddings", "post_id", "created_at", "posts"), ("search_hits", "post_id", "matched_at", "posts"), ("post_labels", "post_id", None, "posts"), ("ppr_seeds", "post_id", None, "posts"),
+)

@@ -78,6 +78,10 @@ def p3_report(spark, sf_dir):
     return orphans.orphan_report(spark, sf_dir)
 
 
+def p3_tables(spark, sf_dir):
+    return orphans.tables_report(spark, sf_dir)
+
+
 def p4_found(spark, sf_dir):
     return hierarchy.reply_trees(spark, sf_dir)
 
@@ -94,6 +98,7 @@ def p4_descendants(spark, sf_dir):
 QUERIES = {
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p3_tables": p3_tables,
     "p4_found": p4_found,
     "p4_paths": p4_paths,
     "p4_descendants": p4_descendants,
@@ -109,6 +114,10 @@ SQL = {
       FROM n LEFT JOIN o ON n.month IS NOT DISTINCT FROM o.month""".replace(
         "post_quotes_1", "(SELECT DISTINCT post_id, quoted_post_native_id, board FROM post_quotes)"
     ),
+    "p3_tables": "SELECT table_name, month, count(*) AS n_references, count(*) FILTER (NOT hit) AS n_orphans FROM (" + " UNION ALL ".join(
+        f"SELECT '{t}.{c}' AS table_name, {f"CASE WHEN year({ts}) > 1970 THEN strftime({ts}, '%Y-%m') END" if ts else 'NULL::VARCHAR'} AS month, {c} IN (SELECT id FROM {to}) AS hit FROM {t} WHERE {c} IS NOT NULL"
+        for t, c, ts, to in orphans.REFERENCES
+    ) + ") GROUP BY ALL",
     "p4_found": f"""WITH RECURSIVE {_SOLVED}{_LOOPS}
       SELECT h AS hierarchy, key AS node_key, root AS root_key, depth FROM down
       UNION ALL SELECT h, key, root, -1 FROM rooted""",

@@ -144,3 +144,22 @@ def test_empty_archive(spark, tmp_path):
     d = _archive(spark, tmp_path, [], [])
     assert orphans.orphan_quotes(spark, d).count() == 0 and orphans.orphan_report(spark, d).count() == 0
     assert hierarchy.reply_trees(spark, d).count() == 0
+
+
+def test_hot_missing_keys_and_long_keys(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "PER_TASK", 10)
+    refs = spark.createDataFrame([(i, "gone" if i % 3 == 0 else f"k{i}") for i in range(150)] + [(1000, "x" * 500), (1001, "y" * 500), (1002, None)], "id long, key string")
+    parents = spark.createDataFrame([(f"k{i}",) for i in range(0, 150, 2)] + [("x" * 500,), (None,)], "key string")
+    missing = orphans.missing_keys(parents, refs)
+    got = sorted(r["id"] for r in orphans.with_missing(refs.where("key is not null"), missing, "id").collect())
+    assert got == sorted([i for i in range(150) if i % 3 == 0 or i % 2] + [1001])
+
+
+def test_report_of_any_tables(spark):
+    from datetime import datetime
+
+    refs = spark.createDataFrame([("a.x", "1", datetime(2024, 5, 1)), ("a.x", "1", datetime(2024, 5, 2)), ("a.x", "2", None), ("b.y", "1", datetime(1970, 1, 1)), ("b.y", None, None)], "table_name string, key string, ts timestamp_ntz")
+    parents = spark.createDataFrame([("a.x", "2"), ("b.y", "7")], "table_name string, key string")
+    got = {(r["table_name"], r["month"]): (r["n_references"], r["n_orphans"]) for r in orphans.report(refs, parents).collect()}
+    assert got == {("a.x", "2024-05"): (2, 2), ("a.x", None): (1, 0), ("b.y", None): (1, 1)}
+    assert orphans.report(refs.limit(0), parents).count() == 0
