@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import tables
+from ..operators import search
 from . import near_duplicates, neighbours, packing, pieces, pii, splits, tokens, toxicity
 
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
@@ -50,6 +54,12 @@ def p6_scores(spark, sf_dir):
     return toxicity.score_posts(spark, sf_dir)
 
 
+def p6_passages(spark, sf_dir):
+    """Every toxic passage with its score, place and words, for review."""
+    found = toxicity.passages(spark, sf_dir).where("toxic")
+    return found.select("post_id", F.inline("passages"))
+
+
 def p6_rates(spark, sf_dir):
     return toxicity.rates(spark, sf_dir)
 
@@ -68,6 +78,17 @@ def p7_found(spark, sf_dir):
     return n.select(F.least("post_id", "neighbour").alias("post_a"), F.greatest("post_id", "neighbour").alias("post_b")).distinct()
 
 
+def p7_exact(spark, sf_dir):
+    """The exact five of every post whose id is divisible by 20, against all, to measure the recall of p7_neighbours."""
+    every = neighbours.usable(tables.load(spark, sf_dir, "post_embeddings"), 384, "post_id", "model_version", "embedding")
+    found = []
+    for m in sorted((r[0] for r in every.select("model").distinct().collect()), key=str):  # one row for each model version
+        own = every.where(F.col("model").eqNullSafe(F.lit(m)))
+        found.append(search.knn_join(own.where("id % 20 = 0"), own, 5, "id", "vector"))
+    hits = reduce(DataFrame.unionByName, found) if found else every.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("score")).limit(0)
+    return hits.select(F.col("query").alias("post_id"), F.col("id").alias("neighbour"), "score")
+
+
 def p8_ids(spark, sf_dir):
     return tokens.token_ids(tables.load(spark, sf_dir, "documents"))
 
@@ -109,9 +130,8 @@ _SQL = {
       SELECT DISTINCT a AS thread_a, b AS thread_b FROM r WHERE a < b""",
     "p7_exact": """WITH one AS (SELECT post_id, arg_min(embedding::FLOAT[384], created_at) AS e, arg_min(model_version, created_at) AS m FROM post_embeddings
         WHERE len(embedding) = 384 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY 1),
-      d AS (SELECT a.post_id AS q, b.post_id AS c, round(array_cosine_similarity(a.e::DOUBLE[384], b.e::DOUBLE[384]), 6) AS s FROM one a JOIN one b ON a.m = b.m AND a.post_id <> b.post_id),
-      t AS (SELECT q, c FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, c) <= 5)
-      SELECT DISTINCT least(q, c) AS post_a, greatest(q, c) AS post_b FROM t""",
+      d AS (SELECT a.post_id AS q, b.post_id AS c, round(array_cosine_similarity(a.e::DOUBLE[384], b.e::DOUBLE[384]), 6) AS s FROM one a JOIN one b ON a.m = b.m AND a.post_id <> b.post_id WHERE a.post_id % 20 = 0)
+      SELECT q AS post_id, c AS neighbour, s AS score FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, c) <= 5""",
 }
 
 

@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import tables
+from ..staging import Stage
 
 #: Labelled posts that are used at most, chosen by hash.
 LABELLED = 20_000
 #: Counts that the prior of a word stands for, and the loss of a word that says nothing.
 PRIOR, DRIFT = 3.0, 0.6
 ROUNDS = 3
-#: The labelled sample is not representative: a harmless post of it stands for so many of the table when the limit is set.
-HARMLESS = 10
+#: A score that about parts the two kinds, by which the share of toxic texts in the table is estimated.
+PARTING = 4.0
 #: However few the labels, a text counts only if one in 10 ** LEAST harmless texts of its length would score as high.
 LEAST = 3.0
 
@@ -99,7 +100,8 @@ class Model:
     def __init__(self) -> None:
         self.runs: tuple[dict[str, float], ...] = ({}, {}, {})
         self.masks: dict[str, str] = {}
-        self.scale, self.shift, self.limit = 1.0, 0.0, 3.0
+        self.scale, self.shift, self.limit = 1.0, 0.0, LEAST
+        self.left_out = self.bad = np.zeros(0)
 
     def fit_runs(self, bad: list[list[str]], good: list[list[str]]) -> None:
         """Log-odds of all runs of up to three words; ``bad`` are passages, ``good`` harmless texts."""
@@ -176,6 +178,29 @@ class Model:
             stack.append(seg)
         return [(x[3] - x[2], x[0], x[1]) for x in stack]
 
+    def set_limit(self, share: float | None) -> None:
+        """The limit with the best F-measure on left-out texts, a text counting by how many raters object.
+
+        ``share`` of the table's texts score PARTING or more. Of harmless ones, by the calibration, one in 10 ** PARTING does;
+        of toxic ones as many as of the labelled. This gives how many toxic texts the table holds, and so for how many of
+        the table a harmless labelled text stands, as the labelled ones are no representative sample. Labels of harmless
+        texts are not used for it, as a few mistaken ones would hide a small share. Without ``share`` each stands for itself.
+        """
+        left_out, bad = self.left_out, self.bad
+        if not len(left_out):
+            return
+        weight, good = 1.0, 1 - bad
+        if share is not None:
+            caught = max(0.05, float((bad * (left_out >= PARTING)).sum() / bad.sum()))
+            toxic = min(0.9, max(1e-4, (share - 10**-PARTING) / caught))
+            weight = (1 - toxic) / toxic * float(bad.sum() / good.sum())
+        order = np.argsort(-left_out, kind="stable")
+        hits, wrong = np.cumsum(bad[order]), np.cumsum(good[order])
+        f = 2 * hits / (hits + weight * wrong + bad.sum())
+        # the middle of where it is as good as the best, so that no single text decides
+        best = np.flatnonzero(f >= f.max() - 0.002)
+        self.limit = max(LEAST, float((left_out[order[best[0]]] + left_out[order[best[-1]]]) / 2))
+
     def best(self, t: list[str]) -> float:
         return max((s[0] for s in self.segments(t)), default=0.0)
 
@@ -211,15 +236,8 @@ def train(texts: list[list[str]], bad: np.ndarray, rounds: int = ROUNDS) -> Mode
         other = _train([texts[i] for i in part], bad[part], rounds)
         for i in np.flatnonzero(fold == k).tolist():
             left_out[i] = other.calibrated(other.best(texts[i]), len(texts[i]))
-    # the limit with the best F-measure, counting a text by how many raters object
-    order = np.argsort(-left_out, kind="stable")
-    hits = np.cumsum(bad[order])
-    wrong = np.arange(1, len(order) + 1) - hits
-    f = 2 * hits / (hits + HARMLESS * wrong + bad.sum())
-    # the middle of where it is as good as the best, so that no single text decides
-    best = np.flatnonzero(f >= f.max() - 0.002)
-    model.limit = max(LEAST, float((left_out[order[best[0]]] + left_out[order[best[-1]]]) / 2))
-    model.left_out, model.f_measure = left_out, float(f.max())
+    model.left_out, model.bad = left_out, bad
+    model.set_limit(None)
     return model
 
 
@@ -260,32 +278,50 @@ def labelled(spark: SparkSession, posts: DataFrame, labels: DataFrame, bound: in
     return [tokens(r["subject"], r["comment_raw"]) for r in rows], np.array([r["bad"] for r in rows])
 
 
-def score_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """post_id, score, n_passages, toxic of every post: the calibrated score of its worst passage.
+_PASSAGES = "array<struct<score:double,first_word:int,last_word:int,words:string>>"
 
-    Null and empty comments and subjects have score 0. Without usable labels, or where they name only one side, nothing
-    is toxic. A repeated post counts once.
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """post_id, score, toxic, passages of every post: the calibrated score of its worst passage, and those over the limit.
+
+    A passage has its score, its place in words and its words in their one spelling. Null and empty comments and subjects
+    have score 0. Without usable labels, or where they name only one side, nothing is toxic. A repeated post counts once.
+    All posts are scored once and written; the share of high scores among them all then sets the limit.
     """
+    stage = Stage(spark, "toxicity")
     posts = tables.load(spark, sf_dir, "posts").select("id", "subject", "comment_raw")
     texts, bad = labelled(spark, posts, tables.load(spark, sf_dir, "post_labels"))
     model = train(texts, bad) if len(texts) and (bad > 0.5).any() and (bad <= 0.5).any() else None
     shared = spark.sparkContext.broadcast(model)  # bounded by the labelled posts
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("words", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            score, found = np.zeros(b.num_rows), np.zeros(b.num_rows, dtype=np.int32)
+            score, found = np.zeros(b.num_rows), [[] for _ in range(b.num_rows)]
             if m is not None:
                 for i, (s, c) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                     t = tokens(s, c)
-                    each = [m.calibrated(x[0], len(t)) for x in m.segments(t)]
-                    if each:
-                        score[i] = max(0.0, max(each))
-                        found[i] = sum(e >= m.limit for e in each)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(found), pa.array(found > 0)], names=["post_id", "score", "n_passages", "toxic"])
-
-    scored = posts.mapInArrow(run, "post_id long, score double, n_passages int, toxic boolean")
-    return scored.groupBy("post_id").agg(F.max("score").alias("score"), F.max("n_passages").alias("n_passages"), F.max("toxic").alias("toxic"))
+                    for x, first, last in m.segments(t):
+                        e = m.calibrated(x, len(t))
+                        score[i] = max(score[i], e)
+                        if e >= LEAST:
+                            found[i].append({"score": e, "first_word": first, "last_word": last, "words": " ".join(w for w in t[first:last] if w != BREAK)})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(found, kind)], names=["post_id", "score", "passages"])
+
+    scored = posts.mapInArrow(run, f"post_id long, score double, passages {_PASSAGES}")
+    scored = stage.cut(scored.groupBy("post_id").agg(F.max(F.struct("score", "passages")).alias("r")).select("post_id", "r.*"))
+    limit = float("inf")
+    if model is not None:
+        n, high = scored.agg(F.count("*"), F.count_if(F.col("score") >= PARTING)).first()
+        model.set_limit(high / n if n else None)
+        limit = model.limit
+    return scored.select("post_id", "score", (F.col("score") >= limit).alias("toxic"), F.filter("passages", lambda p: p["score"] >= limit).alias("passages"))
+
+
+def score_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """post_id, score, n_passages, toxic of every post; see ``passages``."""
+    return passages(spark, sf_dir).select("post_id", "score", F.size("passages").alias("n_passages"), "toxic")
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,3 +249,11 @@ def test_hot_cluster_is_split(spark, monkeypatch):
         got.setdefault(r["post_id"], set()).add(r["neighbour"])
     want = exact_nearest([(i, v, m) for i, v, m in rows if i % 3 == 0], 5)
     assert sum(len(got[i] & set(w)) for i, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
+@data
+def test_recall_against_brute_force(spark):
+    compare(spark, "p7_exact", plans.p7_exact, plans.oracle_sql()["p7_exact"])
+    want = {(r["post_id"], r["neighbour"]) for r in plans.p7_exact(spark, str(DATA / "sf0.01")).collect()}
+    got = {(r["post_id"], r["neighbour"]) for r in plans.p7_neighbours(spark, str(DATA / "sf0.01")).where("post_id % 20 = 0").collect()}
+    assert len(want & got) >= 0.95 * len(want)
