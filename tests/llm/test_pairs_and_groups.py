@@ -152,7 +152,8 @@ def test_threads_keep_together(spark):
 @data
 def test_neighbours_on_the_smallest_table(spark):
     got = {tuple(r) for r in plans.p7_found(spark, str(DATA / "sf0.001")).collect()}
-    want = set(connect("sf0.001").execute(plans._SQL["p7_exact"]).fetchall())
+    every = plans._SQL["p7_exact"].replace("AND a.post_id <> b.post_id WHERE a.post_id % 20 = 0", "AND a.post_id <> b.post_id")
+    want = {(min(q, c), max(q, c)) for q, c, _ in connect("sf0.001").execute(every).fetchall()}
     assert len(got & want) >= 0.9 * len(want)
 
 
