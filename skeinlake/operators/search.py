@@ -152,7 +152,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id",
 def _knn_block(queries: DataFrame, corpus: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     q = queries.select(key, vector).toArrow()  # about QUERIES rows
     ids = q.column(0).to_numpy()
-    x = np.array(q.column(1).to_pylist(), dtype=np.float64)
+    x = np.array(q.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
     shared = corpus.sparkSession.sparkContext.broadcast((ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
