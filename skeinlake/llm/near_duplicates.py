@@ -34,6 +34,8 @@ SLACK = 4.0
 CHUNK = 2000
 #: Word sets of a band that are joined as they are, and of a part of a larger one.
 HOT = 1024
+#: Keys of bands that one task meets, about.
+PER_TASK = 4_000_000
 
 _TAG = re.compile(r"<[^>]*>")
 _QUOTE = re.compile(r">>>/\w+/\d*|>>\d+")
@@ -140,6 +142,60 @@ def _estimate(a: Column, b: Column) -> Column:
     return (same / HASHES - chance) / (1 - chance)
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, hot: pairs of word sets that share a key, of rows (k, h) in order; for a key of more than HOT sets its (k, h)."""
+
+    def pairs(k: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        sizes = np.diff(np.append(starts, len(k)))
+        many = np.repeat(sizes > HOT, sizes)
+        if many.any():
+            yield rows(k[many], h[many], True)
+            k, h = k[~many], h[~many]
+        at, d = np.arange(len(k)), 1
+        while len(at):
+            at = at[at + d < len(k)]
+            at = at[k[at] == k[at + d]]
+            if len(at):
+                yield rows(h[at], h[at + d], False)
+            d += 1
+
+    def rows(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), hot))], names=["a", "b", "hot"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last key so far
+    now, size, many = None, 0, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, h = b.column(0).to_numpy(), b.column(1).to_numpy()
+        first = int(np.searchsorted(k, now, side="right")) if now is not None else 0
+        if many and first:  # the held key is known to be hot, and its rows are passed on
+            yield rows(k[:first], h[:first], True)
+            k, h = k[first:], h[first:]
+        if not len(k):
+            continue
+        last = int(np.searchsorted(k, k[-1]))
+        if last:  # the held key is complete
+            yield from pairs(np.concatenate([x[0] for x in held] + [k[:last]]), np.concatenate([x[1] for x in held] + [h[:last]]))
+            held, size, many = [], 0, False
+        elif held and k[-1] != now:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+            held, size, many = [], 0, False
+        elif k[-1] != now:
+            many = False
+        now = k[-1]
+        held.append((k[last:], h[last:]))
+        size += len(k) - last
+        if size > HOT:
+            many = True
+            for x, y in held:
+                yield rows(x, y, True)
+            held, size = [], 0
+    if held:
+        yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+
+
 def _hot_pairs(rows: DataFrame, threshold: float, enough: float) -> DataFrame:
     """ia, ib: pairs of word sets of the same band that could reach the threshold; ``rows``: k, parts, h, id, n, sig."""
     own = F.pmod(F.xxhash64("h"), F.col("parts").cast("long")).cast("int")
@@ -202,10 +258,10 @@ def links(spark: SparkSession, texts: DataFrame, key: str, text: str, threshold:
     sets = stage.cut(hashed.groupBy("h").agg(F.min(F.struct("id", "n", "sig")).alias("s"), F.max("bands").alias("bands")).select("h", "s.*", "bands"))
     bands = sets.select("h", F.posexplode("bands").alias("band", "v"))
     keyed = bands.select((F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("k"), "h")
-    hot = stage.cut(keyed.groupBy("k").count().where(F.col("count") > HOT).select("k", F.ceil(F.col("count") / HOT).cast("int").alias("parts")))
-    cold = keyed.join(hot, "k", "left_anti")
-    met = cold.alias("x").join(cold.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.h") < F.col("y.h")))
-    met = met.select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).distinct()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sets.count() * (HASHES // ROWS) // PER_TASK)
+    seen = stage.cut(keyed.repartition(tasks, "k").sortWithinPartitions("k", "h").mapInArrow(_meet, "a long, b long, hot boolean"))
+    met = seen.where("not hot").select(F.col("a").alias("ha"), F.col("b").alias("hb")).distinct()
+    hot = seen.where("hot").select(F.col("a").alias("k"), F.col("b").alias("h"))
     sigs = sets.select("h", F.struct("id", "n", "sig").alias("s"))
     chance = threshold + (1 - threshold) * 2.0**-BITS
     error = math.sqrt(chance * (1 - chance) / HASHES) / (1 - 2.0**-BITS)
@@ -216,7 +272,8 @@ def links(spark: SparkSession, texts: DataFrame, key: str, text: str, threshold:
     likely = two.where((small >= large * threshold - 1e-9) & (_estimate(F.col("sa.sig"), F.col("sb.sig")) >= enough))
     likely = likely.select(F.least("sa.id", "sb.id").alias("ia"), F.greatest("sa.id", "sb.id").alias("ib"))
     if not hot.isEmpty():
-        likely = likely.unionByName(_hot_pairs(keyed.join(hot, "k").join(sets.select("h", "id", "n", "sig"), "h"), threshold, enough)).distinct()
+        parts = hot.groupBy("k").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
+        likely = likely.unionByName(_hot_pairs(hot.join(parts, "k").join(sets.select("h", "id", "n", "sig"), "h"), threshold, enough)).distinct()
     likely = stage.cut(likely)
     # the words of the texts that are left, as hashes of 64 bits
     asked = likely.select(F.explode(F.array("ia", "ib")).alias("id")).distinct()

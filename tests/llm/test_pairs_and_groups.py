@@ -157,6 +157,25 @@ def test_neighbours_on_the_smallest_table(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_word_sets_meet_whatever_the_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_duplicates, "HOT", 5)
+    rng = random.Random(3)
+    for _ in range(200):
+        k = sorted(x for j in range(rng.randint(1, 8)) for x in [rng.randint(-9, 9)] * rng.choice((1, 1, 2, 3, 5, 6, 12)))
+        rows = [(x, i) for i, x in enumerate(k)]
+        batches, at = [], 0
+        while at < len(rows):
+            n = rng.randint(0, 6)
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[at : at + n]], pa.int64()) for j in (0, 1)], names=["k", "h"]))
+            at += n
+        got = [tuple(r.values()) for b in near_duplicates._meet(iter(batches)) for r in b.to_pylist()]
+        count = {x: k.count(x) for x in k}
+        want = {(x, i, True) for x, i in rows if count[x] > 5} | {(i, j, False) for x, i in rows for y, j in rows if x == y and i < j and count[x] <= 5}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_hot_bands_lose_no_link(spark, monkeypatch):
     """A template with small edits: many differing word sets share bands, which are split."""
     rng = random.Random(9)
