@@ -347,7 +347,7 @@ _BLANKS = r"[\s\x0b\x{85}\p{Z}]+"
 _TRIM = f"regexp_replace(lower(subject), '^{_BLANKS}|{_BLANKS}$', '', 'g')"
 _TITLES = f"ti AS (SELECT thread_id, {_TRIM} AS t FROM tr WHERE trim(subject) <> '')"
 _SIM = "round(CASE WHEN coalesce(x.t, '') = '' OR coalesce(y.t, '') = '' THEN 0.0 WHEN x.t = y.t THEN 1.0 WHEN starts_with(x.t, y.t) OR starts_with(y.t, x.t) THEN least(strlen(x.t), strlen(y.t)) / greatest(strlen(x.t), strlen(y.t)) ELSE 1 - levenshtein(x.t, y.t) / greatest(strlen(x.t), strlen(y.t)) END, 6)::DOUBLE"
-_WORDS = "list_filter(regexp_split_to_array(lower(@), '" + _BLANKS + "'), lambda x: x <> '')"
+_SPLIT = "list_filter(regexp_split_to_array(lower(@), '" + _BLANKS + "'), lambda x: x <> '')"
 _ALIKE = "CASE WHEN len(x.w) > 0 AND len(y.w) > 0 THEN round(len(list_filter(y.w, lambda v: list_contains(x.w, v))) / greatest(len(x.w), len(y.w)), 6) ELSE 0 END::DOUBLE"
 
 
@@ -359,7 +359,7 @@ def title_similarity(s, d):
     return t.join(u, "a").select("a", "b", F.round(text.title_similarity(F.col("s1"), F.col("s2")), 6).alias("similarity"))
 
 
-@query("text_similarity", f"WITH d AS (SELECT doc_id, {_WORDS.replace('@', 'text')} AS w FROM documents WHERE text IS NOT NULL) SELECT x.doc_id AS a, y.doc_id AS b, {_ALIKE} AS similarity FROM d x JOIN d y ON y.doc_id = x.doc_id + 1")
+@query("text_similarity", f"WITH d AS (SELECT doc_id, {_SPLIT.replace('@', 'text')} AS w FROM documents WHERE text IS NOT NULL) SELECT x.doc_id AS a, y.doc_id AS b, {_ALIKE} AS similarity FROM d x JOIN d y ON y.doc_id = x.doc_id + 1")
 def text_similarity(s, d):
     t = tables.load(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("a"), F.col("text").alias("t1"))
     u = t.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("t1").alias("t2"))
@@ -376,7 +376,7 @@ def _thread_spans(s, d):
 
 #: Hours between threads: the usual, and a wide gap as the archive of the test data is sparse.
 _LINKS = f"""WITH {_WIDE}, sp AS (SELECT thread_id, board_id, {_TRIM} AS t, archived, min(ts) AS first_ts, max(ts) AS last_ts FROM w WHERE year(ts) > 1970 GROUP BY ALL),
-  op AS (SELECT thread_id, {_WORDS.replace('@', 'comment_raw')} AS w FROM w WHERE year(ts) > 1970 QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY post_native_id::BIGINT NULLS FIRST, post_id) = 1),
+  op AS (SELECT thread_id, {_SPLIT.replace('@', 'comment_raw')} AS w FROM w WHERE year(ts) > 1970 QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY post_native_id::BIGINT NULLS FIRST, post_id) = 1),
   th AS (SELECT * FROM sp JOIN op USING (thread_id)),
   pr AS (SELECT x.thread_id AS prev_thread_id, y.thread_id AS next_thread_id, round((epoch_us(y.first_ts) - epoch_us(x.last_ts)) / 3.6e9, 6) AS time_gap_hours, {_SIM} AS title_similarity, {_ALIKE} AS op_similarity
     FROM th x JOIN th y ON x.board_id = y.board_id AND x.thread_id <> y.thread_id WHERE x.archived AND y.first_ts > x.last_ts AND y.first_ts <= x.last_ts + INTERVAL @ HOUR),
