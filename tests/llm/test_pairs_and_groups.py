@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import DATA, compare, connect
 from pyspark.sql import functions as F
@@ -277,3 +278,44 @@ def test_recall_against_brute_force(spark):
     want = {(r["post_id"], r["neighbour"]) for r in plans.p7_exact(spark, str(DATA / "sf0.01")).collect()}
     got = {(r["post_id"], r["neighbour"]) for r in plans.p7_neighbours(spark, str(DATA / "sf0.01")).where("post_id % 20 = 0").collect()}
     assert len(want & got) >= 0.95 * len(want)
+
+
+def test_dense_cluster_is_complete(spark, monkeypatch):
+    """Vectors around one point, whose codes can't tell which is nearest: none of the exact lists is missed."""
+    monkeypatch.setattr(neighbours, "VECTORS", 64)
+    monkeypatch.setattr(neighbours, "TILE", (1, 2))
+    rng = np.random.default_rng(6)
+    heart = rng.normal(size=384)
+    rows = [(i, [float(x) for x in (heart + 0.3 * rng.normal(size=384) if i % 2 else rng.normal(size=384)).astype(np.float32)], "m") for i in range(600)]
+    df = spark.createDataFrame(rows, "post_id long, embedding array<float>, model_version string")
+    got: dict = {}
+    for r in neighbours.nearest(spark, df).orderBy("post_id", "rank").collect():
+        got.setdefault(r["post_id"], []).append(r["neighbour"])
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = -np.round(x @ x.T, 6)
+    np.fill_diagonal(s, 9)
+    assert got == {i: np.argsort(s[i], kind="stable")[:5].tolist() for i in range(600)}
+
+
+def test_bounds_keep_every_pair_that_reaches_a_limit():
+    """Odd vectors, of which rounding to 16 bits takes most, and tiles of few rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 384)) * np.exp(3 * rng.normal(size=(90, 384)))
+    x[60:] = x[:30] + 1e-3 * rng.normal(size=(30, 384))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    axes = neighbours.learn(x)[1]
+    limit, tiles = np.full(90, -2, dtype=np.float32), []
+    for rows in (slice(0, 87), slice(87, 90)):
+        w, scale, lost = neighbours._packed(x[rows])
+        table = pa.table({"id": np.arange(90)[rows], "w": w, "scale": scale, "lost": lost})
+        own = neighbours._Tile(table, axes)
+        limit[own.ids] = own.limits(5)
+        tiles.append(table.append_column("limit", pa.array(limit[rows])))
+    a, b = (neighbours._Tile(t, axes) for t in tiles)
+    met = [tuple(sorted(p)) for one, two in ((a, a), (a, b), (b, b)) for q, c in one.meet(two) for p in zip(q.tolist(), c.tolist())]
+    s = x.astype(np.float64) @ x.T.astype(np.float64)
+    np.fill_diagonal(s, -9)
+    fifth = np.sort(s, axis=1)[:, -5]
+    assert (limit <= fifth).all() and (limit[87:] == -2).all() and len(met) == len(set(met))
+    assert {(min(p), max(p)) for p in np.argwhere(s >= fifth[:, None] - 1e-6).tolist()} <= set(met)
