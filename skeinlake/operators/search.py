@@ -63,10 +63,10 @@ def embeddings(spark: SparkSession, sf_dir: str, model: str, dims: int = 384) ->
     return df.groupBy("post_id").agg(F.min_by("embedding", "created_at").alias("embedding"))
 
 
-def scored(vecs: DataFrame, query: list[float], metric: str = "cosine", key: str = "post_id", vector: str = "embedding") -> DataFrame:
+def scored(vecs: DataFrame, query: list[float], metric: str = "cosine", key: str = "post_id", vector: str = "embedding", zero: float = 0.0) -> DataFrame:
     """``key``, score of every vector against one query, by matrix products over Arrow batches.
 
-    Metrics: cosine, dot, half (cosine of vectors rounded to half precision). A zero vector scores 0.
+    Metrics: cosine, dot, half (cosine of vectors rounded to half precision). A zero vector scores ``zero``.
     """
     q = np.asarray(query, dtype=np.float64)
     if metric == "half":
@@ -80,7 +80,7 @@ def scored(vecs: DataFrame, query: list[float], metric: str = "cosine", key: str
             s = x @ q
             if metric != "dot":
                 n = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
-                s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
+                s = np.divide(s, n, out=np.full_like(s, zero), where=n > 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=[key, "score"])
 
     return vecs.select(key, vector).where(F.size(vector) == len(query)).mapInArrow(run, f"{key} {vecs.schema[key].dataType.simpleString()}, score double")

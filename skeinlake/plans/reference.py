@@ -456,7 +456,8 @@ def structural_vectors(s, d):
   s AS (SELECT m.post_id, sum(m.v * qv.v) / sqrt(sum(m.v * m.v)) / sqrt(sum(qv.v * qv.v)) AS score FROM m JOIN qv USING (i) GROUP BY 1)
   SELECT post_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, post_id LIMIT 20""")
 def search_struct(s, d):
-    return _rounded(search.top(search.scored(graph.structural_vectors(graph.edges(s, d), _vecs(s, d)), _query_vector(s, d)), 20))
+    v = graph.structural_vectors(graph.edges(s, d), _vecs(s, d))  # of a zero vector the SQL gives NaN, which is first
+    return search.top(_rounded(search.scored(v, _query_vector(s, d), zero=float("nan"))), 20)
 
 
 # ---- anomalies -------------------------------------------------------------------------------------------------------

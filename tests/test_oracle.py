@@ -16,3 +16,8 @@ def test_query_equals_sql(spark, name):
 
 def test_sql_has_queries():
     assert set(_sql) <= set(_queries)
+
+
+def test_search_struct_with_zero_vectors(spark):
+    """At this scale a post has a structural vector of length 0."""
+    compare(spark, "search_struct", _queries["search_struct"], _sql["search_struct"], "sf0.01")
