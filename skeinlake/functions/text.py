@@ -95,6 +95,11 @@ def safe_url(c: Column) -> Column:
     return (u != "") & ~bad
 
 
+def tagless(c: Column) -> Column:
+    """Lower-cased text with blanks for tags, single blanks: what n-grams are taken from."""
+    return collapse(F.lower(F.regexp_replace(c, "<[^>]+>", " ")))
+
+
 def char_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     """All character n-grams of lower-cased tag-free text that hold a letter or digit of ASCII, repeats kept."""
 

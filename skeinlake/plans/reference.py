@@ -538,9 +538,7 @@ def stylo_pairs(s, d):
 def stylo_threads(s, d):
     """Posters that write alike within a thread, by character and word n-grams, all threads in one plan."""
     w = _wide(s, d).where("comment_raw is not null").select("thread_id", F.col("poster_id").alias("poster"), "post_id", "comment_raw")
-    p = stylometry.eligible(w, 3)
-    grams = F.concat(text.char_ngrams(F.col("comment_raw")), text.word_ngrams(F.col("comment_raw")))
-    return stylometry.similar(stylometry.weights(p, grams), 0.2)
+    return stylometry.similar_in_threads(s, stylometry.eligible(w, 3), 0.2)
 
 
 # ---- evaluation ------------------------------------------------------------------------------------------------------

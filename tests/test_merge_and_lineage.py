@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from skeinlake import plans
@@ -203,3 +204,16 @@ def test_crosspost_queries_use_all_signs(spark, tmp_path):
     assert {r["node"]: r["leader"] for r in q["crosspost_clusters"](spark, d).collect()} == leader
     tree = {r["node"]: r["parent"] for r in q["lineage_tree"](spark, d).collect()}
     assert {n: p for n, p in tree.items() if p is not None} == {6: 0, 8: 1, 10: 2, 11: 3}
+
+
+@pytest.mark.parametrize("large", [2_000_000, 300])
+def test_styles_in_threads_equal_the_joins(spark, large, monkeypatch):
+    """Threads in a task, or by joins if they are larger, give what joins over all n-grams give."""
+    monkeypatch.setattr(stylometry, "LARGE", large)
+    said = ["Well, I <b>think</b>  so", "well i THINK not", "\u017elut\u00fd k\u016f\u0148 \U0001f40e je tu", "< <i>>odd", "", "a", "no way to know it", "   ", None]
+    posts = [(t, f"u{i % (3 + t)}", 100 * t + i, " ".join(filter(None, (said[(i * (t + 2) + k) % len(said)] for k in range(1 + i % 3)))) if i % 7 else said[i % 9]) for t in range(4) for i in range(9 + 4 * t)]
+    df = spark.createDataFrame(posts, "thread_id long, poster string, post_id long, comment_raw string")
+    grams = F.concat(text.char_ngrams(F.col("comment_raw")), text.word_ngrams(F.col("comment_raw")))
+    want = {tuple(r)[:3]: r["similarity"] for r in stylometry.similar(stylometry.weights(df, grams), 0.05).collect()}
+    got = {tuple(r)[:3]: r["similarity"] for r in stylometry.similar_in_threads(spark, df, 0.05).collect()}
+    assert len(want) > 5 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
